@@ -1,0 +1,56 @@
+"""Intermediate tables in the folder that all executors share.
+
+Lineage is cut by writing a table and reading it back, so a lost executor
+costs one task and not the whole chain of stages before it.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_own: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master gets a temporary folder and a cluster
+    falls back on the warehouse, which its executors share too.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.master.startswith("local["):
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="plumbline-")
+        return f"file://{_own[app]}"
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._plumbline_path = path
+    return kept
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that :func:`keep` wrote and nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "_plumbline_path", None)
+        if path:
+            jvm = table.sparkSession._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            conf = table.sparkSession._jsc.hadoopConfiguration()
+            target.getFileSystem(conf).delete(target, True)
