@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
+from .quality_classifier import quality_scores
+from .quality_rules import quality_report
 from .simhash import near_duplicates
 
 
@@ -17,8 +20,20 @@ def op1_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(_table(spark, sf_dir, "documents")).drop("class_distance", "common_distance")
+
+
+def op3_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_gray": op1_simhash_gray,
+    "op2_distribution_divergence": op2_distribution_divergence,
+    "op3_bradley_terry": op3_bradley_terry,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_distribution_divergence": oracles.quality_rules(),
+}
