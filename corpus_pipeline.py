@@ -1,17 +1,70 @@
-"""The corpus pipeline: stages over ``documents``, each one table to the next."""
+"""The corpus pipeline: stages over ``documents``, each one's table the next one's input.
+
+Quality classifier, quality rules, near-duplicates, mixing, packing.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.llm.mixing import mixed_documents
+from plumbline.llm.packing import pack
+from plumbline.llm.quality_classifier import quality_accepted
+from plumbline.llm.quality_rules import quality_filter
+from plumbline.llm.simhash import near_duplicates
+from plumbline.llm.storage import keep
+from plumbline.shipping import ship
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learnt from ``labels``, accepts."""
+    ship(spark)
+    return quality_accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality_filter(docs)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each near-duplicate component the document with the smallest id.
 
-STAGES: list = []
+    Rows without an id link to nothing and stay.
+    """
+    ship(spark)
+    gone = keep(near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row for each time that a document is taken."""
+    return mixed_documents(docs)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the packed sequences."""
+    ship(spark)
+    return pack(docs)
+
+
+STAGES = [
+    ("quality_classifier", classify),
+    ("quality_rules", apply_rules),
+    ("near_duplicates", one_of_each),
+    ("mixing", mix_sources),
+    ("packing", pack_windows),
+]
+
+#: SQL can express neither the hashes and components nor the rounding, so the
+#: tests hold the rows against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from plumbline.llm.storage import keep
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage; every stage's table is written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):

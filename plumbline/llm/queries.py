@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
+from .mixing import mix
+from .packing import pack
 from .quality_classifier import quality_scores
 from .quality_rules import quality_report
 from .simhash import near_duplicates
@@ -28,10 +30,20 @@ def op3_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"))
+
+
+def op9_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_gray": op1_simhash_gray,
     "op2_distribution_divergence": op2_distribution_divergence,
     "op3_bradley_terry": op3_bradley_terry,
+    "op6_pivotal_mix": op6_pivotal_mix,
+    "op9_hierarchical_packing": op9_hierarchical_packing,
 }
 
 ORACLE: dict[str, str] = {
