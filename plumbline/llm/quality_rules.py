@@ -288,6 +288,12 @@ def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     The texts are read twice and never shuffled: once for the references,
     once for the verdicts.
     """
-    refs = keep(references(measure(docs.select(text_col, lang_col), text_col, lang_col)), "quality-references")
+    slim = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    refs = keep(references(keep(measure(slim).select("_m"), "quality-measures")), "quality-references")
     own = [F.col(f"`{c}`") for c in docs.columns]
-    return judge(measure(docs, text_col, lang_col), refs).where("kept").select(*own)
+    # the optimiser would push the verdict into the measures and repeat them for each use;
+    # it leaves a column alone that isn't deterministic
+    fenced = measure(docs, text_col, lang_col).withColumn(
+        "_m", F.when(F.monotonically_increasing_id() >= 0, F.col("_m"))
+    )
+    return judge(fenced, refs).where("kept").select(*own)
