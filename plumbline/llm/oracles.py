@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import arc_convert, inner_topk, sharding
 from . import quality_rules as rules
 
 
@@ -78,3 +79,51 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
          AND NOT coalesce(common_d > {rules.MAX_COMMON_DISTANCE} + {rules.COMMON_SLACK} / sqrt(n_words), FALSE) AS kept
 FROM based
 """
+
+
+def archive_pages() -> str:
+    return f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b)::BIGINT AS n, sha1(b) AS digest FROM p),
+h AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS holder FROM d)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= {arc_convert.REVISIT_BYTES} AND page_id <> holder THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= {arc_convert.REVISIT_BYTES} AND page_id <> holder THEN holder END AS refers_to
+FROM h
+"""
+
+
+def top_inner_products() -> str:
+    return f"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor({inner_topk.SCALE} * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s
+)
+SELECT * FROM r WHERE rank <= {inner_topk.K}
+"""
+
+
+def shards(deepest: int = 24) -> str:
+    return f"""
+WITH d AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS bytes,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, {sharding.BITS // 4}))::BIGINT AS h
+  FROM documents
+), b AS (
+  SELECT depth, h >> ({sharding.BITS} - depth)::BIGINT AS prefix, sum(bytes)::BIGINT AS shard_bytes
+  FROM d, (SELECT unnest(range({deepest})) AS depth) GROUP BY ALL
+), f AS (
+  SELECT d.doc_id, d.bytes, b.depth, b.prefix, b.shard_bytes,
+         row_number() OVER (PARTITION BY d.doc_id ORDER BY b.depth) AS k
+  FROM d JOIN b ON b.prefix = d.h >> ({sharding.BITS} - b.depth)::BIGINT
+  WHERE b.shard_bytes <= {sharding.LIMIT_BYTES}
+)
+SELECT doc_id, bytes, CASE WHEN depth > 0 THEN right(lpad(bin(prefix), 64, '0'), depth) ELSE '' END AS shard_id,
+       depth::INT AS depth, shard_bytes
+FROM f WHERE k = 1
+"""

@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import oracles
+from .arc_convert import archive_pages
+from .inner_topk import top_inner_products
 from .mixing import mix
 from .packing import pack
 from .quality_classifier import quality_scores
 from .quality_rules import quality_report
+from .sharding import assign_shards
 from .simhash import near_duplicates
 
 
@@ -34,18 +38,36 @@ def op6_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(_table(spark, sf_dir, "pages"))
+
+
+def op8_norm_sorted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op10_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_gray": op1_simhash_gray,
     "op2_distribution_divergence": op2_distribution_divergence,
     "op3_bradley_terry": op3_bradley_terry,
     "op6_pivotal_mix": op6_pivotal_mix,
+    "op7_arc_to_warc": op7_arc_to_warc,
+    "op8_norm_sorted_topk": op8_norm_sorted_topk,
     "op9_hierarchical_packing": op9_hierarchical_packing,
+    "op10_extendible_hashing": op10_extendible_hashing,
 }
 
 ORACLE: dict[str, str] = {
     "op2_distribution_divergence": oracles.quality_rules(),
+    "op7_arc_to_warc": oracles.archive_pages(),
+    "op8_norm_sorted_topk": oracles.top_inner_products(),
+    "op10_extendible_hashing": oracles.shards(),
 }
