@@ -127,3 +127,15 @@ SELECT doc_id, bytes, CASE WHEN depth > 0 THEN right(lpad(bin(prefix), 64, '0'),
        depth::INT AS depth, shard_bytes
 FROM f WHERE k = 1
 """
+
+
+def threads() -> str:
+    """The truth: every turn was written as a reply to the one before it."""
+    return """
+SELECT conv_id, turn::BIGINT AS turn,
+       lag(turn) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS parent_turn,
+       min(turn) OVER (PARTITION BY conv_id)::BIGINT AS root_turn,
+       (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS depth,
+       md5(rtrim(coalesce(text, ''), ' ' || chr(9) || chr(10))) AS own_text_md5
+FROM conversations
+"""

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from . import oracles
 from .arc_convert import archive_pages
 from .inner_topk import top_inner_products
+from .license_scan import notice_templates, scan_templates
 from .mixing import mix
 from .packing import pack
 from .quality_classifier import quality_scores
 from .quality_rules import quality_report
+from .quote_threads import as_mails, link_quotations
 from .sharding import assign_shards
 from .simhash import near_duplicates
 
@@ -34,6 +36,25 @@ def op3_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mails = as_mails(_table(spark, sf_dir, "conversations"))
+    return link_quotations(mails).select(
+        F.col("scope").alias("conv_id"),
+        F.col("msg").alias("turn"),
+        F.col("parent").alias("parent_turn"),
+        F.col("root").alias("root_turn"),
+        "depth",
+        F.md5(F.col("own_text").cast("binary")).alias("own_text_md5"),
+    )
+
+
+def op5_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    passages = _table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("benchmark:"), F.col("item_id")).alias("template"), "text"
+    )
+    return scan_templates(_table(spark, sf_dir, "documents"), notice_templates(spark).unionByName(passages))
+
+
 def op6_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
@@ -58,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_gray": op1_simhash_gray,
     "op2_distribution_divergence": op2_distribution_divergence,
     "op3_bradley_terry": op3_bradley_terry,
+    "op4_quotation_linking": op4_quotation_linking,
+    "op5_license_windows": op5_license_windows,
     "op6_pivotal_mix": op6_pivotal_mix,
     "op7_arc_to_warc": op7_arc_to_warc,
     "op8_norm_sorted_topk": op8_norm_sorted_topk,
@@ -67,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op2_distribution_divergence": oracles.quality_rules(),
+    "op4_quotation_linking": oracles.threads(),
     "op7_arc_to_warc": oracles.archive_pages(),
     "op8_norm_sorted_topk": oracles.top_inner_products(),
     "op10_extendible_hashing": oracles.shards(),
