@@ -19,7 +19,6 @@ and the longest text, and a task that is run again gives the same windows.
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterable, Iterator
@@ -37,7 +36,7 @@ BUFFER_IDS = 1 << 20
 #: Ids of a step group.
 STEP_IDS = 1 << 17
 #: White-space separated words whose ids a worker remembers.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 TOKENIZER = "word_bpe_49k.json"
 
 SCHEMA = (
@@ -52,19 +51,15 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-_LETTER_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
+_PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
 def _split(text: bytes) -> list[bytes]:
-    """Parts of a text that the tokenizer codes on their own.
+    """White-space separated words, A-Z lower-cased as the tokenizer does.
 
-    It lower-cases, splits at white space and parts letters from punctuation,
-    so doing the commonest of that here leaves its ids as they are and makes
-    more parts equal.  Texts that may spell a special token stay as written.
+    Texts that may spell a special token stay as written.
     """
-    if b"<|" in text:
-        return text.split()
-    return _LETTER_STOP.sub(rb" \1", text.lower()).split()
+    return text.split() if b"<|" in text else text.lower().split()
 
 
 class WordTokenizer:
@@ -84,6 +79,7 @@ class WordTokenizer:
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.parts: dict[bytes, list[int]] = {}
         self.ids = np.zeros(1 << 16, dtype="<u4")
         self.ends = np.zeros(1 << 16, dtype=np.int64)  # word k has ids[ends[k] : ends[k + 1]]
 
@@ -93,11 +89,35 @@ class WordTokenizer:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
+    def _part(self, part: bytes, plain: bool) -> list[int]:
+        """Ids of a run of letters (``plain``) or of punctuation."""
+        ids = self.parts.get(part)
+        if ids is None:
+            if plain:  # ASCII letters are one pre-token that no normaliser changes
+                ids = [t.id for t in self.model.model.tokenize(part.decode())]
+            else:
+                ids = self.model.encode(part.decode(), add_special_tokens=False).ids
+            self.parts[part] = ids
+        return ids
+
+    def _ids_of(self, words: list[bytes]) -> list[list[int]]:
+        found: list[list[int] | None] = []
+        odd = []
+        for w in words:
+            stem = w.rstrip(_PUNCTUATION)
+            if stem.isalpha() and stem.islower() and b"<|" not in w:
+                ids = self._part(stem, True)
+                found.append(ids + self._part(w[len(stem) :], False) if len(stem) < len(w) else ids)
+            else:
+                odd.append(w)
+                found.append(None)
+        coded = iter(self.model.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False) if odd else ())
+        return [next(coded).ids if ids is None else ids for ids in found]
+
     def _learn(self, words: list[bytes]) -> None:
-        coded = self.model.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        fresh = self._ids_of(words)
         first = len(self.known)
         self.known.update(zip(words, range(first, first + len(words)), strict=True))
-        fresh = [e.ids for e in coded]
         flat = np.array([i for ids in fresh for i in ids], dtype="<u4")
         ends = self.ends[first] + np.cumsum([len(ids) for ids in fresh])
         while first + len(words) + 1 > len(self.ends):
