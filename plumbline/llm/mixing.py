@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quality_rules import SEPARATORS
-from .storage import keep
+from .storage import keep, wrapped
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -257,17 +257,18 @@ def mix(
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken.
 
-    Rows that repeat an id are all taken as often as the least of them.
+    Rows that repeat an id are all taken as often as the least of them; a row
+    without an id cannot be found again and is left out.
     """
     copies = (
         mix(docs, id_col, text_col, source_col)
-        .groupBy(F.col("doc_id").alias("_id"))
-        .agg(F.min("copies").alias("_copies"))
-        .where("_copies > 0")
+        .groupBy(F.col("doc_id").alias("taken_id"))
+        .agg(F.min("copies").alias("copies"))
+        .where("copies > 0")
     )
-    own = [F.col(f"`{c}`") for c in docs.columns]
     return (
-        docs.join(copies, F.col(id_col) == F.col("_id"))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(*own)
+        wrapped(docs, id=F.col(id_col).cast("long"))
+        .join(copies, F.col("id") == F.col("taken_id"))
+        .select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        .select("row.*")
     )

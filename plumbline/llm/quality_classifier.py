@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality_rules import COMMON_WORDS
+from .storage import wrapped
 
 #: Labelled rows that the model is fitted on, in expectation.
 SAMPLE_ROWS = 20_000
@@ -203,5 +204,5 @@ def quality_scores(
 def quality_accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score is accepted, with their own columns."""
     model = train(docs, labels, id_col, text_col)
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    return scored(docs, model, text_col, "_score").where(F.col("_score") >= ACCEPT).select(*own)
+    rows = wrapped(docs, text=F.col(text_col))
+    return scored(rows, model).where(F.col("score") >= ACCEPT).select("row.*")

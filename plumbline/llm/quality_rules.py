@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import keep
+from .storage import keep, wrapped
 
 # Frequent function words of the languages with a reference of their own.
 COMMON_WORDS = {
@@ -290,10 +290,9 @@ def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     """
     slim = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     refs = keep(references(keep(measure(slim).select("_m"), "quality-measures")), "quality-references")
-    own = [F.col(f"`{c}`") for c in docs.columns]
     # the optimiser would push the verdict into the measures and repeat them for each use;
     # it leaves a column alone that isn't deterministic
-    fenced = measure(docs, text_col, lang_col).withColumn(
+    fenced = measure(wrapped(docs, text=F.col(text_col), lang=F.col(lang_col))).withColumn(
         "_m", F.when(F.monotonically_increasing_id() >= 0, F.col("_m"))
     )
-    return judge(fenced, refs).where("kept").select(*own)
+    return judge(fenced, refs).where("kept").select("row.*")
