@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import texts_of
+
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS = 24
@@ -135,8 +137,7 @@ def _scan_batches(templates):
         index = Index(templates)
         for batch in batches:
             rows = []
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts, strict=True):
+            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
                 rows += [(doc_id, *match) for match in index.scan(shingles(text))]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             types = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64()]

@@ -267,8 +267,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .where("copies > 0")
     )
     return (
-        wrapped(docs, id=F.col(id_col).cast("long"))
-        .join(copies, F.col("id") == F.col("taken_id"))
+        wrapped(docs)
+        .join(copies, F.col(f"row.`{id_col}`").cast("long") == F.col("taken_id"))
         .select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
         .select("row.*")
     )

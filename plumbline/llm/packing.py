@@ -30,6 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import texts_of
+
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
 BUFFER_IDS = 1 << 20
@@ -127,11 +129,11 @@ class WordTokenizer:
         self.ids[self.ends[first] : ends[-1]] = flat
         self.ends[first + 1 : first + 1 + len(words)] = ends
 
-    def encode(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
+    def encode(self, texts: Iterable[bytes | None]) -> Iterator[np.ndarray]:
         """The ids of each text, with the end id."""
-        if len(self.known) > CACHED_WORDS:
-            self._forget()
         for text in texts:
+            if len(self.known) > CACHED_WORDS:
+                self._forget()
             words = _split(text or b"")
             at = list(map(self.known.get, words))
             if None in at:
@@ -319,8 +321,8 @@ def _pack_batches(path: str, tiers: tuple[int, ...]):
         tokenizer = WordTokenizer.load(path)
         packer = _Packer(TaskContext.get().partitionId(), tiers)
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for doc_id, ids in zip(batch.column(0).to_pylist(), tokenizer.encode(texts), strict=True):
+            coded = tokenizer.encode(texts_of(batch.column(1)))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), coded, strict=True):
                 if packer.add(doc_id, ids):
                     yield packer.flush()
         yield packer.flush(last=True)

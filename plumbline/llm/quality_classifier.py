@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import texts_of
 from .quality_rules import COMMON_WORDS
 from .storage import wrapped
 
@@ -129,7 +130,7 @@ def fit(x: np.ndarray, label: np.ndarray) -> Model:
 def _score_udf(model: Model):
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        x = np.array([features(t) for t in texts.cast(pa.binary()).to_pylist()], dtype=float)
+        x = np.array([features(t) for t in texts_of(texts)], dtype=float)
         return pa.array(model.scores(x.reshape(-1, len(FEATURES))))
 
     return score
@@ -138,7 +139,7 @@ def _score_udf(model: Model):
 def _feature_udf():
     @F.arrow_udf("array<double>")
     def values(texts: pa.Array) -> pa.Array:
-        return pa.array([features(t) for t in texts.cast(pa.binary()).to_pylist()], pa.list_(pa.float64()))
+        return pa.array([features(t) for t in texts_of(texts)], pa.list_(pa.float64()))
 
     return values
 
@@ -204,5 +205,4 @@ def quality_scores(
 def quality_accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score is accepted, with their own columns."""
     model = train(docs, labels, id_col, text_col)
-    rows = wrapped(docs, text=F.col(text_col))
-    return scored(rows, model).where(F.col("score") >= ACCEPT).select("row.*")
+    return scored(wrapped(docs), model, f"row.`{text_col}`").where(F.col("score") >= ACCEPT).select("row.*")

@@ -292,7 +292,7 @@ def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     refs = keep(references(keep(measure(slim).select("_m"), "quality-measures")), "quality-references")
     # the optimiser would push the verdict into the measures and repeat them for each use;
     # it leaves a column alone that isn't deterministic
-    fenced = measure(wrapped(docs, text=F.col(text_col), lang=F.col(lang_col))).withColumn(
+    fenced = measure(wrapped(docs), f"row.`{text_col}`", f"row.`{lang_col}`").withColumn(
         "_m", F.when(F.monotonically_increasing_id() >= 0, F.col("_m"))
     )
     return judge(fenced, refs).where("kept").select("row.*")

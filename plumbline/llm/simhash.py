@@ -36,6 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import texts_of
 from .components import connected_components
 from .storage import drop, keep
 
@@ -99,8 +100,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE_WORDS) -> int:
 
 def _hash_batches(batches):
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary()).to_pylist()
-        values = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
+        values = np.array([fingerprint(t) for t in texts_of(batch.column(1))], dtype=np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["doc_id", "fp"])
 
 

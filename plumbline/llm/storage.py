@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
@@ -57,11 +57,10 @@ def drop(*tables: DataFrame) -> None:
             target.getFileSystem(conf).delete(target, True)
 
 
-def wrapped(docs: DataFrame, **columns: Column) -> DataFrame:
-    """All columns of ``docs`` in one, ``row``, beside the given ones.
+def wrapped(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs`` in one, ``row``.
 
     However the columns of a table are called, they can't clash with those
     that an operator adds; ``select("row.*")`` brings them back.
     """
-    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    return docs.select(own, *[column.alias(name) for name, column in columns.items()])
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
