@@ -9,7 +9,7 @@ reply order follows by pointer doubling over the links.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import drop, keep
@@ -193,12 +193,21 @@ def link_quotations(
 
 
 def as_mails(conversations: DataFrame) -> DataFrame:
-    """Conversations as a mail client would send them: each turn over the two before it, quoted."""
-    before = Window.partitionBy("conv_id").orderBy("turn")
+    """Conversations as a mail client would send them: each turn over the two before it, quoted.
+
+    Turns find those before them by number, so a very long conversation is
+    spread like any other rows.  Of repeated turns the largest text counts.
+    """
+    turns = conversations.groupBy("conv_id", F.col("turn").cast("long").alias("turn")).agg(F.max("text").alias("text"))
     quote = lambda column, mark: F.when(
-        column.isNotNull(), F.concat(F.lit("\n" + mark), F.regexp_replace(column, "\n", "\n" + mark))
+        F.col(column).isNotNull(), F.concat(F.lit("\n" + mark), F.regexp_replace(column, "\n", "\n" + mark))
     ).otherwise("")
-    first, second = F.lag("text", 1).over(before), F.lag("text", 2).over(before)
-    return conversations.select(
-        "conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), quote(first, "> "), quote(second, ">> ")).alias("text")
+    earlier = lambda back: turns.select(
+        "conv_id", (F.col("turn") + back).alias("turn"), F.col("text").alias(f"back{back}")
+    )
+    joined = turns.join(earlier(1), ["conv_id", "turn"], "left").join(earlier(2), ["conv_id", "turn"], "left")
+    return joined.select(
+        "conv_id",
+        "turn",
+        F.concat(F.coalesce("text", F.lit("")), quote("back1", "> "), quote("back2", ">> ")).alias("text"),
     )
