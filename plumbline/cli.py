@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from .plans import analyzers as an
+from .plans import detect, reports
 from .plans.views import Views
 from .shipping import ship
 from .sources import sinks, tree
@@ -19,7 +20,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("path")
     parser.add_argument("--only", action="append", help="an analyzer's name; may be given again")
     parser.add_argument("--stack", help="default file and folder rules of a stack")
-    parser.add_argument("--preset", default="general", help="content rules")
+    parser.add_argument("--preset", help="content rules; both are found from manifests where not given")
     parser.add_argument("--rules", help="a TOML file with rules, in place of stack and preset")
     parser.add_argument("--diff", help="a unified diff, for change impact")
     parser.add_argument("--analyzer", action="append", default=[], help="dotted name of a further analyzer")
@@ -28,7 +29,8 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("plumbline").getOrCreate()
     ship(spark)
     views = Views.scan(spark, args.path)
-    chosen = an.default_analyzers(args.stack, args.preset)
+    stack, preset = args.stack or detect.default_stack(args.path), args.preset or detect.default_preset(args.path)
+    chosen = an.default_analyzers(stack, preset)
     if args.rules:
         rules = tree.load_rules(args.rules)
         own = [an.Taxonomy(tuple(rules["taxonomy"])), an.FolderStructure(tuple(rules["folders"])), an.RepoRules(tuple(rules["content"]))]
@@ -44,7 +46,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     for name, result in results.items():
         print(f"{name}: {result.summary.first()[0]}")
-        result.issues.show(20, truncate=100)
+        reports.in_order(name, result.issues).show(20, truncate=100)
     return 0
 
 

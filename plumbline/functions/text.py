@@ -52,3 +52,19 @@ def first_match(branches: list[tuple[Column, Column]], otherwise: Column) -> Col
 
 def percentage(part: Column, whole: Column, empty: float) -> Column:
     return F.coalesce(F.round(F.try_divide(part, whole) * 100, 1), F.lit(empty))
+
+
+def pascal(name: Column) -> Column:
+    words = F.filter(F.split(name, "[^a-zA-Z0-9]+"), lambda w: w != "")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, 2, 1 << 20)))), "")
+
+
+def snake(name: Column) -> Column:
+    return F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_")
+
+
+def rendered(template: Column, values: dict[str, Column]) -> Column:
+    """``{{key}}`` replaced by each value, in turn."""
+    for key, value in values.items():
+        template = F.replace(template, F.lit("{{" + key + "}}"), value)
+    return template
