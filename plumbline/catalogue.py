@@ -238,24 +238,25 @@ def q_uncovered(spark, sf_dir):
     )
 
 
-@_query(r"""WITH w AS (SELECT p_partkey, p_name, lower(unnest(string_split(p_name, ' '))) AS word FROM part)
-SELECT DISTINCT a.p_partkey, b.p_partkey AS other_key FROM w a JOIN w b ON a.word = b.word AND a.p_partkey < b.p_partkey
-  AND contains(lower(b.p_name), lower(split_part(a.p_name, ' ', 1)))
-WHERE a.p_partkey % 10 = 0 AND b.p_partkey % 10 = 0""")
+@_query(
+    _TOKENS_SQL
+    + r""" SELECT page_id, count(DISTINCT doc_id) AS n_docs FROM pages
+     JOIN (SELECT doc_id, lang, lower(token) AS token FROM tokens JOIN documents USING (doc_id)) t
+       ON t.token = lower(regexp_extract(url, '^https?://([^./?#]+)', 1)) AND contains(url, '/' || lang)
+     GROUP BY page_id"""
+)
 def q_fuzzy_match(spark, sf_dir):
-    words = (
-        _t(spark, sf_dir, "part")
-        .where("p_partkey % 10 = 0")
-        .select("p_partkey", "p_name", F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("word"))
+    docs = _t(spark, sf_dir, "documents").select(
+        "doc_id",
+        "lang",
+        F.explode(F.array_distinct(F.transform(text.identifiers(F.col("text")), lambda x: F.lower(x)))).alias("token"),
     )
-    other = words.select(F.col("p_partkey").alias("other_key"), F.lower("p_name").alias("other_name"), "word")
-    lead = F.lower(F.substring_index("p_name", " ", 1))
-    return (
-        words.join(other, "word")
-        .where((F.col("p_partkey") < F.col("other_key")) & F.contains("other_name", lead))
-        .select("p_partkey", "other_key")
-        .distinct()
+    counted = docs.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))  # one row a language and token
+    pages = _t(spark, sf_dir, "pages").select(
+        "page_id", "url", F.lower(F.regexp_extract("url", r"^https?://([^./?#]+)", 1)).alias("label")
     )
+    named = F.contains("url", F.concat(F.lit("/"), F.col("lang")))
+    return pages.join(counted, (F.col("label") == F.col("token")) & named).groupBy("page_id").agg(F.sum("n").alias("n_docs"))
 
 
 @_query("""SELECT user_id, count(*) AS total, count(*) FILTER (event_type NOT IN ('error', 'signup')) AS dark,
@@ -359,24 +360,20 @@ def q_ref_graph(spark, sf_dir):
     return rel.other_owner_semi(refs, owners, "l_partkey", "l_orderkey").select("l_orderkey", "l_linenumber")
 
 
-_EDGES_SQL = "e AS (SELECT DISTINCT o_custkey % 97 AS src, o_orderkey % 101 + 97 AS dst FROM orders UNION SELECT DISTINCT o_orderkey % 101 + 97, o_custkey % 89 FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 7 = 0)"
-
-
 def _edges(spark, sf_dir):
-    orders = _t(spark, sf_dir, "orders")
-    down = orders.selectExpr("o_custkey % 97 AS src", "o_orderkey % 101 + 97 AS dst")
-    up = orders.where("o_orderpriority = '1-URGENT' and o_orderkey % 7 = 0").selectExpr(
-        "o_orderkey % 101 + 97 AS src", "o_custkey % 89 AS dst"
-    )
-    return down.unionByName(up).distinct()
+    """Suppliers lead to the parts they ship, parts (as negative numbers) to suppliers they came back from."""
+    items = _t(spark, sf_dir, "lineitem")
+    out = items.select(F.col("l_suppkey").alias("src"), (-F.col("l_partkey")).alias("dst"))
+    back = items.where("l_returnflag = 'R'").select((-F.col("l_partkey")).alias("src"), F.col("l_suppkey").alias("dst"))
+    return out.unionByName(back).distinct()
 
 
-@_query(f"""WITH RECURSIVE {_EDGES_SQL}, r(node, depth) AS (
-  SELECT 3::BIGINT, 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 3)
+@_query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, -l_partkey AS dst FROM lineitem
+  UNION SELECT DISTINCT -l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R'),
+r(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 3)
 SELECT node, min(depth)::INT AS depth FROM r GROUP BY node""")
 def q_bfs_depth(spark, sf_dir):
-    start = spark.createDataFrame([(3,)], "node long")
-    return rel.bounded_reach(_edges(spark, sf_dir), start, 3)
+    return rel.bounded_reach(_edges(spark, sf_dir), spark.createDataFrame([(1,)], "node long"), 3)
 
 
 @_query("""SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey,
@@ -386,14 +383,14 @@ def q_first_visitor(spark, sf_dir):
     return rel.first_visitor(orders, "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey")
 
 
-@_query("""WITH changed AS (SELECT DISTINCT o_custkey AS c FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 50 = 0),
+@_query("""WITH changed AS (SELECT DISTINCT o_custkey AS c FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 400000),
 callers AS (SELECT DISTINCT l_suppkey AS s, o_custkey AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 covered AS (SELECT DISTINCT l_suppkey AS s FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 49)
 SELECT changed.c AS changed, count(*) AS n_callers, count(*) FILTER (covered.s IS NULL) AS n_uncovered
 FROM changed JOIN callers USING (c) LEFT JOIN covered USING (s) GROUP BY changed.c""")
 def q_blast_radius(spark, sf_dir):
     orders, items = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem")
-    changed = orders.where("o_orderpriority = '1-URGENT' and o_orderkey % 50 = 0").select(F.col("o_custkey").alias("changed")).distinct()
+    changed = orders.where("o_orderpriority = '1-URGENT' and o_totalprice > 400000").select(F.col("o_custkey").alias("changed")).distinct()
     callers = (
         items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(changed, F.col("o_custkey") == F.col("changed"))
