@@ -9,10 +9,12 @@ reply order follows by pointer doubling over the links.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import drop, keep
+from .storage import keep
 
 _MARK = r"^((?:>[ \t]?)*)"
 
@@ -89,36 +91,43 @@ def parse_quotes(messages: DataFrame, text_col: str = "text") -> DataFrame:
     ).drop("_lines", "_starts", "_ends")
 
 
+def _under(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _depths(links: DataFrame) -> DataFrame:
-    """``(scope, msg, root, depth)`` from ``(scope, msg, parent)``; parents precede their replies."""
-    state = keep(
-        links.select(
-            "scope",
-            "msg",
-            F.coalesce("parent", "msg").alias("root"),
-            F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"),
-        ),
-        "thread",
+    """``(scope, msg, root, depth)`` from ``(scope, msg, parent)``; parents precede their replies.
+
+    Pointers double their reach each round.  A message whose pointer has met
+    one that is settled is settled too, and only the others go on, so a long
+    thread costs rounds for its own messages alone.
+    """
+    settled = [
+        links.where("parent is null").select(
+            "scope", "msg", F.col("msg").alias("root"), F.lit(0).cast("long").alias("depth"), F.lit(True).alias("final")
+        )
+    ]
+    going = links.where("parent is not null").select(
+        "scope", "msg", F.col("parent").alias("root"), F.lit(1).cast("long").alias("depth"), F.lit(False).alias("final")
     )
     while True:
-        above = state.select(
-            F.col("scope").alias("s"), F.col("msg").alias("m"), F.col("root").alias("r"), F.col("depth").alias("d")
+        above = _under([*settled, going]).select(
+            F.col("scope").alias("s"),
+            F.col("msg").alias("m"),
+            F.col("root").alias("r"),
+            F.col("depth").alias("d"),
+            F.col("final").alias("f"),
         )
         moved = keep(
-            state.join(above, F.col("scope").eqNullSafe(F.col("s")) & (F.col("root") == F.col("m")), "left").select(
-                "scope",
-                "msg",
-                F.coalesce("r", "root").alias("root"),
-                (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"),
-                (F.coalesce("d", F.lit(0)) > 0).alias("on"),
+            going.join(above, F.col("scope").eqNullSafe(F.col("s")) & (F.col("root") == F.col("m"))).select(
+                "scope", "msg", F.col("r").alias("root"), (F.col("depth") + F.col("d")).alias("depth"), F.col("f").alias("final")
             ),
             "thread",
         )
-        drop(state)
-        on = moved.where("on").limit(1).count()
-        state = moved
-        if not on:
-            return state
+        settled.append(moved.where("final"))
+        going = moved.where("not final")
+        if not going.head(1):
+            return _under(settled).drop("final")
 
 
 def link_quotations(

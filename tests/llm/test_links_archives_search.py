@@ -43,6 +43,13 @@ def test_quotes(spark):
     assert empty.count() == 0
 
 
+def test_long_thread(spark):
+    turns = [(1, k, f"turn number {k}") for k in range(70)] + [(2, 0, "alone")]
+    mails = quote_threads.as_mails(spark.createDataFrame(turns, "conv_id int, turn int, text string"))
+    found = {(r.scope, r.msg): (r.parent, r.root, r.depth) for r in quote_threads.link_quotations(mails).collect()}
+    assert found == {(1, k): (k - 1 if k else None, 0, k) for k in range(70)} | {(2, 0): (None, 0, 0)}
+
+
 def test_passages_of_interleaved_replies(spark):
     mails = [(1, 0, "first point"), (1, 1, "second point"), (1, 2, "> first point\nno\n> second point\nyes")]
     found = quote_threads.link_quotations(spark.createDataFrame(mails, "conv_id int, turn int, text string"))
