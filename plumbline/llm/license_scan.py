@@ -7,7 +7,8 @@ stands, one window holds it whole.  Even a copy with only ``THRESHOLD`` of
 its shingles then has a Jaccard similarity of at least ``0.8 / 3`` with its
 window.  Each of ``BANDS`` minima is a band of its own, so the window and the
 template share a band with probability ``1 - (1 - 0.8 / 3) ** 24 > 0.999``;
-windows of unrelated text share a minimum only if they share a shingle.
+windows of unrelated text share a minimum only if they share a shingle, so
+minima are taken only around shingles that some template of the tier has.
 Retrieved templates are verified by the share of their distinct shingles that
 stand in and around the window.
 
@@ -73,6 +74,13 @@ def _minima(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.stack([np.minimum.reduceat(hashes * a + b, starts) for a, b in zip(_A, _B, strict=True)])
 
 
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values are in ``ordered``."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 class Index:
     """Band index of a round of templates."""
 
@@ -87,8 +95,10 @@ class Index:
             by_tier.setdefault(max(2, 1 << (full - 1).bit_length()), []).append(len(self.names))
             self.names.append(name)
             self.sets.append(distinct)
-        self.tiers = {}
+        self.tiers, self.words = {}, {}
+        self.vocabulary = np.unique(np.concatenate([np.empty(0, np.uint64), *self.sets]))
         for width, members in by_tier.items():
+            self.words[width] = np.unique(np.concatenate([self.sets[t] for t in members]))
             keys = np.concatenate([_minima(self.sets[t], np.array([0])) for t in members], axis=1)
             order = np.argsort(keys, axis=1, kind="stable")
             self.tiers[width] = (np.take_along_axis(keys, order, 1), np.array(members)[order])
@@ -113,19 +123,31 @@ class Index:
                     at += 1
         return found
 
+    def _stretches(self, hashes: np.ndarray, known: np.ndarray, width: int) -> list[tuple[int, int]]:
+        """Parts of a text that hold a shingle of the tier, with two widths to either side."""
+        own = known[_among(hashes[known], self.words[width])]
+        if not len(own):
+            return []
+        breaks = np.flatnonzero(np.diff(own) > 2 * width)
+        firsts, lasts = own[np.append(0, breaks + 1)], own[np.append(breaks, len(own) - 1)]
+        return [
+            (at, int(min(at + STRETCH, last) + 2 * width))
+            for first, last in zip(firsts, lasts, strict=True)
+            for at in range(max(0, int(first) - 2 * width), int(last) + 1, STRETCH)
+        ]
+
     def scan(self, hashes: np.ndarray) -> list[tuple[str, float, int, int]]:
         """Best match of each template: name, containment, first and last word."""
         best: dict[int, tuple[float, int, int]] = {}
+        known = np.flatnonzero(_among(hashes, self.vocabulary))
         for width in self.tiers:
-            for at in range(0, max(len(hashes), 1), STRETCH):
-                part = hashes[at : at + STRETCH + 2 * width]
-                if not len(part):
-                    continue
+            for at, end in self._stretches(hashes, known, width):
+                part = hashes[at:end]
                 for start, t in self._retrieved(part, width):
                     low = max(0, at + start - width // 2)
                     high = at + start + 2 * width
                     here = hashes[low:high]
-                    place = np.flatnonzero(np.isin(here, self.sets[t]))
+                    place = np.flatnonzero(_among(here, self.sets[t]))
                     share = len(np.unique(here[place])) / len(self.sets[t])
                     if share >= THRESHOLD and share > best.get(t, (0.0,))[0]:
                         best[t] = (share, low + int(place[0]), low + int(place[-1]) + SHINGLE_WORDS - 1)
