@@ -64,6 +64,19 @@ def _split(text: bytes) -> list[bytes]:
     return text.split() if b"<|" in text else text.lower().split()
 
 
+class _Known(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
+
+
 class WordTokenizer:
     """Encodes texts word by word.
 
@@ -80,7 +93,7 @@ class WordTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = _Known()
         self.parts: dict[bytes, list[int]] = {}
         self.ids = np.zeros(1 << 16, dtype="<u4")
         self.ends = np.zeros(1 << 16, dtype=np.int64)  # word k has ids[ends[k] : ends[k + 1]]
@@ -116,10 +129,10 @@ class WordTokenizer:
         coded = iter(self.model.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False) if odd else ())
         return [next(coded).ids if ids is None else ids for ids in found]
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self) -> None:
+        words, self.known.fresh = self.known.fresh, []
         fresh = self._ids_of(words)
-        first = len(self.known)
-        self.known.update(zip(words, range(first, first + len(words)), strict=True))
+        first = len(self.known) - len(words)
         flat = np.array([i for ids in fresh for i in ids], dtype="<u4")
         ends = self.ends[first] + np.cumsum([len(ids) for ids in fresh])
         while first + len(words) + 1 > len(self.ends):
@@ -135,11 +148,9 @@ class WordTokenizer:
             if len(self.known) > CACHED_WORDS:
                 self._forget()
             words = _split(text or b"")
-            at = list(map(self.known.get, words))
-            if None in at:
-                self._learn(list({w: 0 for w, k in zip(words, at, strict=True) if k is None}))
-                at = list(map(self.known.get, words))
-            at = np.array(at, dtype=np.int64)
+            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            if self.known.fresh:
+                self._learn()
             starts = self.ends[at]
             sizes = self.ends[at + 1] - starts
             ids = np.empty(int(sizes.sum()) + 1, dtype="<u4")
