@@ -26,6 +26,7 @@ group of copies.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -53,6 +54,7 @@ BUFFER_ROWS = 1 << 16
 PIECE_BYTES = 1 << 20
 FANOUT = 8
 
+_SPACE = re.compile(rb"[ \n\t\r\x0b\x0c]")
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -62,9 +64,12 @@ def _pieces(text: bytes) -> Iterator[bytes]:
     while len(text) - start > PIECE_BYTES:
         head = text[start : start + PIECE_BYTES]
         cut = max(head.rfind(b) for b in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
-        if cut < 0:
-            break
-        yield head[:cut]
+        if cut <= 0:  # one word fills the piece (0 is the last cut's white space): go on to its end
+            end = _SPACE.search(text, start + PIECE_BYTES)
+            if end is None:
+                break
+            cut = end.start() - start
+        yield text[start : start + cut]
         start += cut
     yield text[start:] if start else text
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from itertools import islice
 
 import numpy as np
 import pytest
@@ -50,6 +51,18 @@ def test_fingerprint_matches_brute_force(monkeypatch):
     assert found() == expected
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["a " + "x" * 100 + " b", "a\n" + "x" * 100, " " + "x" * 49 + " " + "y" * 50, "a b c " + "x" * 130 + "\tb c d e " + "z" * 70, " " * 120 + "x" * 51 + " " * 60],
+)
+def test_pieces_of_long_words_end(text, monkeypatch):
+    monkeypatch.setattr(simhash, "PIECE_BYTES", 50)
+    pieces = list(islice(simhash._pieces(text.encode()), 1000))  # bounded: a loop that doesn't end must fail here
+    assert b"".join(pieces) == text.encode() and all(pieces)
+    assert [w for p in pieces for w in p.split()] == text.encode().split()
+    assert simhash.fingerprint(text.encode()) == brute_fingerprint(text)
+
+
 def test_jvm_and_python_hash_agree(spark):
     assert spark.range(1).select(F.xxhash64(F.lit("a b c d"))).first()[0] == np.uint64(xxhash.xxh64_intdigest("a b c d", 42)).astype(np.int64)
 
