@@ -1,8 +1,9 @@
 """Quotation linking: conversations from messages that quote one another.
 
 Lines are told apart by their nesting of ``>``; runs of one level are
-passages.  Normalised passages are hashed and joined to the messages that
-wrote them.  A hash keeps one writer, the first of its scope, before it is
+passages, and passages fall into paragraphs and lines, so that a trimmed
+quotation is found too.  Normalised texts are hashed and joined to the
+messages that wrote them.  A hash keeps one writer, the first of its scope, before it is
 joined, so text that everybody quotes adds no pairs.  Parents found, the
 reply order follows by pointer doubling over the links.
 """
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 
 from .storage import keep
 
+#: Grains of a part, from the largest.
+LEVEL, PARAGRAPH, LINE = 2, 1, 0
+
 _MARK = r"^((?:>[ \t]?)*)"
 
 
@@ -39,7 +43,10 @@ def parse_quotes(messages: DataFrame, text_col: str = "text") -> DataFrame:
     ``passages`` is an array of ``(level, hash)`` in the order of the text,
     with the parts of level 0 among them.  ``quoted`` holds the hash of all
     lines of level 1, ``nested`` that of levels 1 and 2 together, ``own``
-    that of level 0 and ``own_nested`` that of levels 0 and 1.
+    that of level 0 and ``own_nested`` that of levels 0 and 1.  ``parts`` is
+    an array of ``(level, grain, hash)``: all lines of a level (``LEVEL``),
+    its paragraphs (``PARAGRAPH``), which end at blank lines too, and its
+    lines (``LINE``), where they have a letter or digit.
     """
     lines = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"\r?\n")
     attribution = r"^(On .* wrote:|.* schrieb am .*:|Le .* a écrit :)\s*$"
@@ -56,13 +63,19 @@ def parse_quotes(messages: DataFrame, text_col: str = "text") -> DataFrame:
         ),
     )
     at = F.col("_lines")
-    parsed = parsed.withColumn(
-        "_starts",
-        F.filter(
-            F.sequence(F.lit(0), F.size("_lines") - 1),
-            lambda i: (i == 0) | (F.get(at, i)["level"] != F.get(at, i - 1)["level"]),
-        ),
-    ).withColumn("_ends", F.concat(F.slice("_starts", F.lit(2), F.size("_starts")), F.array(F.size("_lines"))))
+    has_text = lambda i: F.get(at, i)["line"].rlike(r"[^\x20\x09-\x0D]")
+    new_level = lambda i: (i == 0) | (F.get(at, i)["level"] != F.get(at, i - 1)["level"])
+    starts = lambda begins: F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), begins)
+    ends = lambda column: F.concat(F.slice(column, F.lit(2), F.size(column)), F.array(F.size("_lines")))
+    parsed = parsed.withColumns(
+        {"_starts": starts(new_level), "_begins": starts(lambda i: new_level(i) | (has_text(i) & ~has_text(i - 1)))}
+    ).withColumns({"_ends": ends("_starts"), "_stops": ends("_begins")})
+    between = lambda s, e: normalised(
+        F.transform(F.slice(at, s + 1, F.greatest(e - s, F.lit(0))), lambda x: x["line"])
+    )
+    part = lambda level, grain, text: F.struct(
+        level.alias("level"), F.lit(grain).alias("grain"), F.when(text.rlike(r"[\p{L}\p{N}]"), _hash(text)).alias("hash")
+    )
     text_of = lambda *levels: F.transform(
         F.filter(at, lambda x: x["level"].isin(*levels)), lambda x: x["line"]
     )
@@ -80,15 +93,29 @@ def parse_quotes(messages: DataFrame, text_col: str = "text") -> DataFrame:
             "passages": F.zip_with(
                 "_starts",
                 "_ends",
-                lambda s, e: F.struct(
-                    F.get(at, s)["level"].alias("level"),
-                    _hash(
-                        normalised(F.transform(F.slice(at, s + 1, F.greatest(e - s, F.lit(0))), lambda x: x["line"]))
-                    ).alias("hash"),
+                lambda s, e: F.struct(F.get(at, s)["level"].alias("level"), _hash(between(s, e)).alias("hash")),
+            ),
+            "parts": F.filter(
+                F.array_distinct(
+                    F.concat(
+                        F.transform(
+                            F.array_distinct(F.transform(at, lambda x: x["level"])),
+                            lambda level: part(
+                                level,
+                                LEVEL,
+                                normalised(
+                                    F.transform(F.filter(at, lambda x: x["level"] == level), lambda x: x["line"])
+                                ),
+                            ),
+                        ),
+                        F.zip_with("_begins", "_stops", lambda s, e: part(F.get(at, s)["level"], PARAGRAPH, between(s, e))),
+                        F.transform(at, lambda x: part(x["level"], LINE, normalised(F.array(x["line"])))),
+                    )
                 ),
+                lambda x: x["hash"].isNotNull(),
             ),
         }
-    ).drop("_lines", "_starts", "_ends")
+    ).drop("_lines", "_starts", "_ends", "_begins", "_stops")
 
 
 def _under(parts: list[DataFrame]) -> DataFrame:
@@ -138,7 +165,12 @@ def link_quotations(
     ``parent`` is the message that the quotation comes from: the first of
     the same scope whose own text and quotation equal the quoted and nested
     text, else whose own text equals the quoted text, else which wrote one of
-    the quoted passages.  Only earlier messages count.  ``root`` starts the
+    the quoted passages; else of which the quotation is a part: which wrote,
+    among other text, all of the quoted text, else a passage, a paragraph or
+    a line of it.  Where nothing of level 1 is found, the deeper levels are
+    asked in the same way, one after the other, so a reply whose direct
+    parent is missing hangs under the message quoted deeper.  Of several
+    candidates the latest is the parent.  Only earlier messages count.  ``root`` starts the
     thread and ``depth`` counts the replies to it.  Null or empty texts quote
     nothing and are quoted by nothing; of rows that repeat a scope and order
     the largest text counts; a null order has no place and is left out; an
@@ -160,33 +192,64 @@ def link_quotations(
         parsed.select(
             "scope",
             "msg",
-            F.explode(F.array_distinct(F.concat(F.array("own", "own_nested"), passages(0)))).alias("hash"),
+            F.explode(
+                F.concat(
+                    F.transform(
+                        F.array_distinct(F.concat(F.array("own", "own_nested"), passages(0))),
+                        lambda h: F.struct(F.lit(True).alias("whole"), h.alias("hash")),
+                    ),
+                    F.transform(
+                        F.filter("parts", lambda p: (p["level"] == 0) & (p["grain"] < LEVEL)),
+                        lambda p: F.struct(F.lit(False).alias("whole"), p["hash"].alias("hash")),
+                    ),
+                )
+            ).alias("key"),
         )
+        .select("scope", "msg", "key.whole", "key.hash")
         .where("hash is not null")
-        .groupBy("scope", "hash")
+        .groupBy("scope", "hash", "whole")
         .agg(F.min("msg").alias("writer"))
     )
-    keyed = lambda rank, column: F.struct(F.lit(rank).alias("rank"), column.alias("hash"))
-    asked = parsed.select(
-        "scope",
-        "msg",
-        F.explode(
-            F.concat(
-                F.array(keyed(3, F.col("nested")), keyed(2, F.col("quoted"))),
-                F.transform(passages(1), lambda h: keyed(1, h)),
-            )
-        ).alias("key"),
-    ).select("scope", "msg", "key.rank", "key.hash").where("hash is not null")
+    keyed = lambda level, rank, column: F.struct(
+        level.cast("int").alias("level"), F.lit(rank).cast("int").alias("rank"), column.alias("hash")
+    )
+    asked = (
+        parsed.select(
+            "scope",
+            "msg",
+            F.explode(
+                F.concat(
+                    F.array(keyed(F.lit(1), 5, F.col("nested")), keyed(F.lit(1), 4, F.col("quoted"))),
+                    F.transform(
+                        F.filter("passages", lambda p: p["level"] > 0), lambda p: keyed(p["level"], 3, p["hash"])
+                    ),
+                    F.transform(
+                        F.filter("parts", lambda p: p["level"] > 0),
+                        lambda p: F.struct(
+                            p["level"].cast("int").alias("level"),
+                            F.when(p["grain"] == LEVEL, 4).otherwise(p["grain"]).cast("int").alias("rank"),
+                            p["hash"].alias("hash"),
+                        ),
+                    ),
+                )
+            ).alias("key"),
+        )
+        .select("scope", "msg", "key.level", "key.rank", "key.hash")
+        .where("hash is not null")
+        .distinct()
+    )
     writers = keep(written, "writers").select(
-        F.col("scope").alias("s"), F.col("hash").alias("h"), "writer"
+        F.col("scope").alias("s"), F.col("hash").alias("h"), "whole", "writer"
     )
+    # whole messages and passages that quoted text or passages equal come before all that are parts
+    first = F.col("whole") & (F.col("rank") >= 3)
     parents = (
         asked.join(
             writers,
             F.col("scope").eqNullSafe(F.col("s")) & (F.col("hash") == F.col("h")) & (F.col("writer") < F.col("msg")),
         )
         .groupBy("scope", "msg")
-        .agg(F.max(F.struct("rank", "writer")).alias("best"))
+        .agg(F.max(F.struct(-F.col("level"), first, "rank", "whole", "writer")).alias("best"))
         .select(F.col("scope").alias("s"), F.col("msg").alias("m"), F.col("best.writer").alias("parent"))
     )
     linked = keep(

@@ -56,6 +56,34 @@ def test_passages_of_interleaved_replies(spark):
     assert {r.msg: r.parent for r in found.collect()}[2] == 1
 
 
+def test_trimmed_quotes_and_missing_parents(spark):
+    mails = [
+        ("c", 0, "Shall we meet?\nAt noon?"),
+        ("c", 3, "Only a part\n> At noon?"),
+        ("p", 0, "Hello\n\nFirst idea\ngoes on.\n\nSecond idea."),
+        ("p", 1, "Other\n\nThird idea."),
+        ("p", 2, "> First idea\n> goes on.\nno"),  # a paragraph
+        ("p", 3, "> Hello\n>\n> Second idea.\nyes"),  # paragraphs with the text between them trimmed
+        ("p", 4, "> goes on.\n> never written\nhm"),  # one line of the quotation
+        ("p", 5, "> ***\nstars"),
+        ("m", 0, "Shall we meet?\nAt noon?"),
+        ("m", 2, "> Lost mail.\n>> Shall we meet?\n>> At  NOON?\n\nGood"),  # message 1 is missing
+        ("m", 3, "> Gone.\n>> Lost.\n>>> At noon?\nFine"),
+        ("m", 4, "> Good\n>> Shall we meet?\n>> At noon?\nNear before deep"),
+        ("w", 0, "Yes.\nLong"),
+        ("w", 1, "Yes."),
+        ("w", 2, "> Yes.\nwhole messages come first"),
+    ]
+    table = spark.createDataFrame(mails, "conv_id string, turn int, text string")
+    parent = {(r.scope, r.msg): r.parent for r in quote_threads.link_quotations(table).collect()}
+    assert parent == {
+        ("c", 0): None, ("c", 3): 0,
+        ("p", 0): None, ("p", 1): None, ("p", 2): 0, ("p", 3): 0, ("p", 4): 0, ("p", 5): None,
+        ("m", 0): None, ("m", 2): 0, ("m", 3): 0, ("m", 4): 2,
+        ("w", 0): None, ("w", 1): None, ("w", 2): 1,
+    }
+
+
 def words(seed, n):
     rng = random.Random(seed)
     return [f"w{rng.randrange(3000)}" for _ in range(n)]
