@@ -9,7 +9,7 @@ the reference of its language, which is summed over the whole table:
 
 each by Jensen-Shannon distance (base 2, so 0 to 1).  A histogram over too
 few observations says nothing, so short ones are not judged; nor is a
-document whose language has too small a reference.
+document whose language is unknown or has too small a reference.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .storage import keep, wrapped
 
-# Frequent function words of the languages with a reference of their own.
+# Frequent function words; words of all these languages are counted in every text.
 COMMON_WORDS = {
     "de": "aber als an auch auf aus bei das dass dem den der des die durch ein eine einen er es für haben hat ich im in ist mit nach nicht noch oder sich sie sind so über um und von war was werden wie wird zu zum zur",
     "en": "a an and are as at be but by for from had has have he her his i if in is it its not of on or our she so that the their there they this to was we were which will with would you",
@@ -51,7 +51,8 @@ MAX_CLASS_DISTANCE = 0.3
 MAX_COMMON_DISTANCE = 0.2
 COMMON_SLACK = 1.7
 
-OTHER = "other"
+#: References up to which they are broadcast.
+BROADCAST_LANGS = 1000
 
 
 def _all_common() -> list[str]:
@@ -66,10 +67,10 @@ def measure(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     """Adds the column ``_m``, a struct of everything the rules look at.
 
     A null text counts as one without words.  ``_m.lang`` is the language of
-    the reference: ``lang_col`` if it has one of its own, else ``other``.
+    the reference: ``lang_col`` as it stands, null if blank.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    known = F.col(lang_col).isin(*COMMON_WORDS)
+    lang = F.col(lang_col).cast("string")
     staged = docs.withColumns(
         {
             "_t0": text,
@@ -133,7 +134,7 @@ def measure(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     return staged.withColumn(
         "_m",
         F.struct(
-            F.when(known, F.col(lang_col)).otherwise(OTHER).alias("lang"),
+            F.when(F.trim(lang) != "", lang).alias("lang"),
             n.cast("long").alias("n_words"),
             (length[0].cast("long") - counts[names.index("space")]).alias("word_chars"),
             counts[names.index("symbol")].alias("n_symbols"),
@@ -158,10 +159,10 @@ def measure(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
 def references(measured: DataFrame) -> DataFrame:
     """One row for each language with a reference: ``(lang, ref_classes, ref_common)``.
 
-    Shares over all documents of the language.  At most one row for each
-    language listed in ``COMMON_WORDS`` and one for the rest, whatever the
-    table holds, so it may be broadcast.
+    Shares over all documents of the language, each value of the language
+    column for itself.  Documents without a language are in no reference.
     """
+    measured = measured.where("_m.lang is not null")
     width = len(CLASSES) + 1
     classes = measured.groupBy(F.col("_m.lang").alias("lang")).agg(
         F.sum("_m.n_words").alias("words"),
@@ -199,13 +200,15 @@ def _distance(shares: Column, seen: Column) -> Column:
 def judge(measured: DataFrame, refs: DataFrame) -> DataFrame:
     """Adds ``class_distance``, ``common_distance``, ``base_failed`` and ``kept``.
 
-    A distance is null where it isn't judged.
+    A distance is null where it isn't judged.  ``refs`` is counted, and
+    broadcast up to ``BROADCAST_LANGS`` rows.
     """
     m = F.col("_m")
     chars = _array_sum(m["classes"])
-    judged = measured.join(
-        F.broadcast(refs.withColumnRenamed("lang", "_lang")), m["lang"] == F.col("_lang"), "left"
-    ).withColumns(
+    named = refs.withColumnRenamed("lang", "_lang")
+    if named.limit(BROADCAST_LANGS + 1).count() <= BROADCAST_LANGS:
+        named = F.broadcast(named)
+    judged = measured.join(named, m["lang"] == F.col("_lang"), "left").withColumns(
         {
             "_chars": chars,
             "_rest": m["n_words"] - _array_sum(F.transform(m["common"], lambda x: x["c"])),
@@ -266,13 +269,14 @@ def quality_report(
     ``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, class_distance, common_distance)``.  Rows that repeat
     are returned as often as they occur and null ids are carried through; a
-    null language counts as ``other``.  An empty table gives an empty one.
+    null language is judged by the base rules alone.  An empty table gives an
+    empty one.
     """
     slim = docs.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     )
     measured = keep(measure(slim).select("doc_id", "_m"), "quality-measures")
-    return judge(measured, references(measured)).select(
+    return judge(measured, keep(references(measured), "quality-references")).select(
         "doc_id",
         *[F.col(f"_m.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         "base_failed",
@@ -285,8 +289,9 @@ def quality_report(
 def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their own columns.
 
-    The texts are read twice and never shuffled: once for the references,
-    once for the verdicts.
+    The texts are read twice: once for the references, once for the verdicts.
+    They aren't shuffled unless there are more than ``BROADCAST_LANGS``
+    references.
     """
     slim = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     refs = keep(references(keep(measure(slim).select("_m"), "quality-measures")), "quality-references")

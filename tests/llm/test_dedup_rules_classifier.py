@@ -176,6 +176,22 @@ def test_divergent_documents_go(spark):
     assert {k for k, v in report.items() if v} == kept
 
 
+@pytest.mark.parametrize("broadcast", [1000, 1])
+def test_each_language_has_its_own_reference(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(qr, "BROADCAST_LANGS", broadcast)
+    rng = random.Random(6)
+    prose = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
+    rows = [(k, prose("абвгдежзик", 150), "ru", "s") for k in range(60)]
+    rows += [(100 + k, prose("的一是不了人我在有他", 150), "zh", "s") for k in range(30)]
+    rows += [(200 + k, prose("ABCDEFGHIK", 150), None if k else " ", "s") for k in range(4)]  # unknown
+    rows += [(300, prose("abcdefghik", 150).upper(), "en-US", "s"), (301, "short", None, "s")]  # too small a reference
+    rows += [(400, prose("абвгдежзик", 150).upper(), "ru", "s"), (401, "1 2 3 4 5 " * 60, "zh", "s")]
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = {r.doc_id for r in qr.quality_filter(docs).collect()}
+    assert kept == {*range(60), *range(100, 130), *range(200, 204), 300}
+    assert {r.doc_id for r in qr.quality_report(docs).where("kept").collect()} == kept
+
+
 def labelled(spark, n=200):
     rows, labels = [], []
     for k in range(n):
