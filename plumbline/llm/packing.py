@@ -43,7 +43,7 @@ TOKENIZER = "word_bpe_49k.json"
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
-    "sequence_id long, offset long, tier int, step_id long"
+    "sequence_id long, offset long, tier int, step_id long, ids array<int>"
 )
 
 
@@ -306,11 +306,13 @@ class _Packer:
             windows += deal_rest(over)
             over = []
         lengths = [sum(p.length for p in w) for w in windows]
-        rows = []
+        rows, runs = [], []
         for window, length, group in zip(windows, lengths, step_groups(lengths), strict=True):
             offset = 0
             for p in window:
-                crc = zlib.crc32(p.ids[p.start : p.start + p.length].tobytes())
+                run = p.ids[p.start : p.start + p.length]
+                runs.append(run)
+                crc = zlib.crc32(run.tobytes())
                 rows.append(
                     (p.doc_id, p.start, p.length, crc, len(p.ids), self.first + self.sequences, offset, length,
                      self.first + self.steps + group)
@@ -320,10 +322,13 @@ class _Packer:
         self.steps += 1 + max((r[-1] - self.first - self.steps for r in rows), default=-1)
         self.windows, self.pieces, self.held = [], over, sum(p.length for p in over)
         types = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        names = [c.split()[0] for c in SCHEMA.split(", ")]  # ids come last
         columns = list(zip(*rows, strict=True)) or [[]] * len(types)
+        ends = np.cumsum([0, *map(len, runs)], dtype=np.int32)
+        flat = np.concatenate(runs).view("<i4") if runs else np.empty(0, "<i4")
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names
+            [*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), ids], names
         )
 
 
@@ -351,7 +356,8 @@ def pack(
     """One row for each piece of a document, see ``SCHEMA``.
 
     ``offset`` is the piece's place in its sequence, ``tier`` the sequence's
-    length.  A null or blank text is the end id alone; rows that repeat an id
+    length, ``ids`` the piece's token ids and ``ids_crc32`` the checksum of
+    their bytes (unsigned, 4 bytes each, little-endian).  A null or blank text is the end id alone; rows that repeat an id
     are packed as often as they occur; null ids are carried through; other
     columns are not read.  An empty table gives an empty one.
     """
@@ -359,3 +365,13 @@ def pack(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
     )
     return slim.mapInArrow(_pack_batches(tokenizer or default_tokenizer(), tiers), SCHEMA)
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """``(sequence_id, step_id, tier, ids)``: the training sequences of :func:`pack`'s pieces, ``tier`` ids each."""
+    pieces = F.array_sort(F.collect_list(F.struct("offset", "ids")))
+    return packed.groupBy("sequence_id").agg(
+        F.first("step_id").alias("step_id"),
+        F.first("tier").alias("tier"),
+        F.flatten(F.transform(pieces, lambda p: p["ids"])).alias("ids"),
+    )

@@ -16,8 +16,9 @@ from .packing import pack
 from .quality_classifier import quality_scores
 from .quality_rules import quality_report
 from .quote_threads import as_mails, link_quotations
-from .sharding import assign_shards
+from .sharding import read_shards, write_shards
 from .simhash import near_duplicates
+from .storage import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,11 +69,20 @@ def op8_norm_sorted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(_table(spark, sf_dir, "documents"))
+    return pack(_table(spark, sf_dir, "documents")).drop("ids")
 
 
 def op10_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign_shards(_table(spark, sf_dir, "documents"))
+    path = new_path(spark, "sharded")
+    write_shards(_table(spark, sf_dir, "documents"), path)
+    rows = read_shards(spark, path).select(
+        F.col("row.doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.octet_length("row.text"), F.lit(0)).cast("long").alias("bytes"),
+        "shard_id",
+        F.length("shard_id").alias("depth"),
+    )
+    sizes = rows.groupBy("shard_id").agg(F.sum("bytes").alias("shard_bytes"))
+    return rows.join(sizes, "shard_id").select("doc_id", "bytes", "shard_id", "depth", "shard_bytes")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

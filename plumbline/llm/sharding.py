@@ -3,14 +3,15 @@
 The directory is indexed by the leading bits of a document's hash.  A bucket
 over the byte limit is split on the next bit, others stay, until every shard
 fits.  Only byte sums of hash prefixes decide, so documents move once, to
-their shard, or not at all.
+their shard, or not at all.  A shard is a prefix of the hash and becomes one
+file, which holds the whole rows.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import keep
@@ -22,26 +23,32 @@ BITS = 60
 AHEAD = 7
 
 
-def assign_shards(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit_bytes: int = LIMIT_BYTES
-) -> DataFrame:
-    """``(doc_id, bytes, shard_id, depth, shard_bytes)``, one row for each input row.
-
-    ``shard_id`` is the bucket's bits.  A null text has no bytes; a null id
-    hashes like the text ``null``.  Rows that repeat an id have one hash and
-    share a shard.  A bucket whose rows all have one hash, such as a single
-    document over the limit, cannot be split and is the only kind that may
-    exceed it.  An empty table gives an empty one.
-    """
+def _hash(id_col: str) -> Column:
+    """The leading ``BITS`` bits of the id's hash."""
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    sized = keep(
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, BITS // 4), 16, 10).cast("long")
+
+
+def _size(text_col: str) -> Column:
+    return F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long")
+
+
+def _shard_id() -> Column:
+    bits = F.expr("right(lpad(conv(cast(prefix AS string), 10, 2), 64, '0'), depth)")
+    return F.when(F.col("depth") > 0, bits).otherwise("")
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return keep(
         docs.select(
-            F.col(id_col).cast("long").alias("doc_id"),
-            F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("bytes"),
-            F.conv(F.substring(F.md5(key.cast("binary")), 1, BITS // 4), 16, 10).cast("long").alias("h"),
+            F.col(id_col).cast("long").alias("doc_id"), _size(text_col).alias("bytes"), _hash(id_col).alias("h")
         ),
         "sized",
     )
+
+
+def _leaves(sized: DataFrame, limit_bytes: int) -> list[tuple[int, DataFrame]]:
+    """The shards ``(depth, prefix, shard_bytes)`` by round, each with the bits that the round looks at."""
     total = sized.agg(F.sum("bytes")).first()[0] or 0
     top, open_, found = 0, sized, []
     reach = max(0, math.ceil(math.log2(max(total, 1) / limit_bytes))) + AHEAD
@@ -75,8 +82,23 @@ def assign_shards(
             break
         open_ = sized.join(over, F.shiftright("h", BITS - reach) == F.col("full"), "left_semi")
         top, reach = reach, reach + AHEAD
+    return found
+
+
+def assign_shards(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit_bytes: int = LIMIT_BYTES
+) -> DataFrame:
+    """``(doc_id, bytes, shard_id, depth, shard_bytes)``, one row for each input row.
+
+    ``shard_id`` is the bucket's bits.  A null text has no bytes; a null id
+    hashes like the text ``null``.  Rows that repeat an id have one hash and
+    share a shard.  A bucket whose rows all have one hash, such as a single
+    document over the limit, cannot be split and is the only kind that may
+    exceed it.  An empty table gives an empty one.
+    """
+    sized = _sized(docs, id_col, text_col)
     placed = None
-    for reach, leaves in found:
+    for reach, leaves in _leaves(sized, limit_bytes):
         directory = leaves.withColumn(
             "cell",
             F.explode(
@@ -85,11 +107,54 @@ def assign_shards(
         )
         part = sized.join(directory, F.shiftright("h", BITS - reach) == F.col("cell"))
         placed = part if placed is None else placed.unionByName(part)
-    bits = F.expr("right(lpad(conv(cast(prefix AS string), 10, 2), 64, '0'), depth)")
     return placed.select(
         "doc_id",
         "bytes",
-        F.when(F.col("depth") > 0, bits).otherwise("").alias("shard_id"),
+        _shard_id().alias("shard_id"),
         F.col("depth").cast("int").alias("depth"),
         "shard_bytes",
     )
+
+
+def write_shards(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit_bytes: int = LIMIT_BYTES
+) -> None:
+    """Writes every row of ``docs``, with all its columns, to the file of its shard.
+
+    The shards are those of :func:`assign_shards`: one Parquet file for each,
+    in the folder ``shard=s<bits>`` under ``path``, which must not exist.
+    Rows are kept whole in a column ``row`` and read by :func:`read_shards`.
+    An empty table gives a folder without shards.
+    """
+    cells = None
+    for _, leaves in _leaves(_sized(docs, id_col, text_col), limit_bytes):
+        leaves = keep(leaves, "shards")
+        deepest = leaves.agg(F.max("depth")).first()[0]
+        if deepest is None:
+            continue
+        part = leaves.select(
+            F.concat(F.lit("s"), _shard_id()).alias("shard"),
+            F.lit(deepest).alias("reach"),
+            F.explode(
+                F.expr(f"sequence(shiftleft(prefix, {deepest} - depth), shiftleft(prefix + 1, {deepest} - depth) - 1)")
+            ).alias("cell"),
+        )
+        cells = part if cells is None else cells.unionByName(part)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _hash(id_col).alias("h"))
+    if cells is None:  # no rows
+        rows.select("row", F.lit("s").alias("shard")).write.parquet(path)
+        return
+    reaches = [r[0] for r in cells.select("reach").distinct().collect()]
+    at = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.shiftright("h", BITS - r).alias("c")) for r in reaches]))
+    if len(reaches) == 1:
+        at = F.struct(F.lit(reaches[0]).alias("r"), F.shiftright("h", BITS - reaches[0]).alias("c"))
+    rows = rows.withColumn("at", at)
+    # all rows of a shard meet in one task, so a shard is one file
+    rows.join(cells, (F.col("at.r") == F.col("reach")) & (F.col("at.c") == F.col("cell"))).select(
+        "row", "shard"
+    ).repartition("shard").write.option("maxRecordsPerFile", 0).partitionBy("shard").parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
+    """``(row, shard_id)`` of every row that :func:`write_shards` wrote."""
+    return spark.read.parquet(path).select("row", F.expr("substring(shard, 2)").alias("shard_id"))

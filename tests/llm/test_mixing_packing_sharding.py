@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from plumbline.llm import mixing, packing, sharding
 
@@ -190,3 +191,43 @@ def test_shards(spark, ahead, monkeypatch):
         assert size[r.shard_id] <= 300 or {x.doc_id for x in found if x.shard_id == r.shard_id} == {501}
         if r.depth and len(r.shard_id) < 60:  # no bucket was split without need
             assert sum(len((t or "").encode()) for i, t, _ in rows if bits(i).startswith(r.shard_id[:-1])) > 300
+
+
+def test_shards_are_written_whole(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(k, "x" * rng.randrange(60), "s") for k in range(400)] + [(500, None, "s"), (501, "é" * 200, None), (None, "abc", "s"), (7, "y" * 10, "s"), (7, "y" * 10, "s")]
+    docs, path = table(spark, rows), str(tmp_path / "shards")
+    sharding.write_shards(docs, path, limit_bytes=300)
+    back = sharding.read_shards(spark, path)
+    assert sorted(map(str, back.select("row.*").collect())) == sorted(map(str, docs.collect()))
+    sized = back.select("row.doc_id", F.coalesce(F.octet_length("row.text"), F.lit(0)), "shard_id", F.length("shard_id"))
+    assigned = sharding.assign_shards(docs, limit_bytes=300).drop("shard_bytes")
+    assert sorted(map(str, map(tuple, sized.collect()))) == sorted(map(str, map(tuple, assigned.collect())))
+    folders = [f for f in (tmp_path / "shards").iterdir() if f.is_dir()]
+    assert len(folders) == assigned.select("shard_id").distinct().count() > 10
+    assert all(len(list(f.glob("*.parquet"))) == 1 for f in folders)
+
+
+def test_few_rows_are_sharded(spark, tmp_path):
+    sharding.write_shards(table(spark, [(1, "a", "s")]), str(tmp_path / "one"))
+    assert [(r.row.doc_id, r.shard_id) for r in sharding.read_shards(spark, str(tmp_path / "one")).collect()] == [(1, "")]
+    sharding.write_shards(spark.createDataFrame([], DOCS), str(tmp_path / "none"))
+    assert sharding.read_shards(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_packed_ids_are_the_texts(spark):
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choice(["alpha", "beta.", "Gamma"]) for _ in range(rng.randrange(3000))), "s") for k in range(20)] + [(100 + k, t, None) for k, t in enumerate(TEXTS)]
+    packed = packing.pack(table(spark, rows)).cache()
+    pieces = packed.collect()
+    tokenizer = packing.WordTokenizer(packing.default_tokenizer())
+    of_doc = defaultdict(list)
+    for p in sorted(pieces, key=lambda p: p.start):
+        assert len(p.ids) == p.length and zlib.crc32(np.array(p.ids, "<u4").tobytes()) == p.ids_crc32
+        of_doc[p.doc_id] += p.ids
+    assert dict(of_doc) == {i: [*tokenizer.model.encode(t or "", add_special_tokens=False).ids, packing.END_ID] for i, t, _ in rows}
+    found = {r.sequence_id: r for r in packing.sequences(packed).collect()}
+    for r in found.values():
+        assert r.ids == [x for p in sorted((p for p in pieces if p.sequence_id == r.sequence_id), key=lambda p: p.offset) for x in p.ids]
+        assert len(r.ids) == r.tier
+    assert len(found) == len({p.sequence_id for p in pieces})
