@@ -19,10 +19,12 @@ and the longest text, and a task that is run again gives the same windows.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +45,9 @@ TOKENIZER = "word_bpe_49k.json"
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
-    "sequence_id long, offset long, tier int, step_id long, ids array<int>"
+    "sequence_id long, offset long, tier int, step_id long"
 )
+IDS = ", ids array<int>"
 
 
 def default_tokenizer() -> str:
@@ -54,6 +57,13 @@ def default_tokenizer() -> str:
 
 
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+#: Texts are encoded in groups of about so many bytes.
+GROUP_BYTES = 1 << 20
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+#: Characters that stand for bytes in a byte-level vocabulary: visible ones for themselves.
+_BYTE_CHARS = {
+    b: b if b in _VISIBLE else 256 + sum(c not in _VISIBLE for c in range(b)) for b in range(256)
+}
 
 
 def _split(text: bytes) -> list[bytes]:
@@ -64,39 +74,63 @@ def _split(text: bytes) -> list[bytes]:
     return text.split() if b"<|" in text else text.lower().split()
 
 
-class _Known(dict):
-    """Numbers words in the order in which they are first asked for."""
+class _Store:
+    """Runs of ids by number, end to end in one array."""
 
     def __init__(self):
-        super().__init__()
-        self.fresh: list[bytes] = []
+        self.numbers: dict[bytes, int] = {}
+        self.ids = np.zeros(1 << 16, dtype="<u4")
+        self.ends = np.zeros(1 << 16, dtype=np.int64)  # run k is ids[ends[k] : ends[k + 1]]
+
+    def fresh(self, keys: Iterable[bytes]) -> list[bytes]:
+        """Numbers the keys that have none yet and returns them in that order."""
+        found = list(set(keys).difference(self.numbers))
+        first = len(self.numbers)
+        self.numbers.update(zip(found, range(first, first + len(found))))
+        return found
+
+    def numbered(self, keys: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.numbers.__getitem__, keys), np.int64, len(keys))
+
+    def append(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """The runs of the keys that :meth:`fresh` numbered last."""
+        first = len(self.numbers) - len(sizes)
+        ends = self.ends[first] + np.cumsum(sizes)
+        while len(self.numbers) + 1 > len(self.ends):
+            self.ends = np.append(self.ends, np.zeros_like(self.ends))
+        while len(ends) and ends[-1] > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros_like(self.ids))
+        self.ids[self.ends[first] : self.ends[first] + len(flat)] = flat
+        self.ends[first + 1 : len(self.numbers) + 1] = ends
+
+    def sizes(self, at: np.ndarray) -> np.ndarray:
+        return self.ends[at + 1] - self.ends[at]
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        self.fresh.append(word)
-        return number
+    def gather(self, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The runs with the numbers ``at``, end to end."""
+        shift = self.ends[at] - (np.cumsum(sizes) - sizes)
+        return self.ids[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))]
 
 
 class WordTokenizer:
     """Encodes texts word by word.
 
     The tokenizer neither merges nor normalises across ASCII white space, so
-    a text's ids are its words' ids in a row, and words repeat.
+    a text's ids are its words' ids in a row, and words repeat.  A word is a
+    stem and the punctuation after it, which are split before merges, too.
     """
 
     _loaded: dict[str, WordTokenizer] = {}
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self._forget()
 
     def _forget(self) -> None:
-        self.known = _Known()
-        self.parts: dict[bytes, list[int]] = {}
-        self.ids = np.zeros(1 << 16, dtype="<u4")
-        self.ends = np.zeros(1 << 16, dtype=np.int64)  # word k has ids[ends[k] : ends[k + 1]]
+        self.words, self.parts = _Store(), _Store()
 
     @classmethod
     def load(cls, path: str) -> WordTokenizer:
@@ -104,59 +138,68 @@ class WordTokenizer:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def _part(self, part: bytes, plain: bool) -> list[int]:
-        """Ids of a run of letters (``plain``) or of punctuation."""
-        ids = self.parts.get(part)
-        if ids is None:
-            if plain:  # ASCII letters are one pre-token that no normaliser changes
-                ids = [t.id for t in self.model.model.tokenize(part.decode())]
-            else:
-                ids = self.model.encode(part.decode(), add_special_tokens=False).ids
-            self.parts[part] = ids
-        return ids
-
-    def _ids_of(self, words: list[bytes]) -> list[list[int]]:
-        found: list[list[int] | None] = []
-        odd = []
-        for w in words:
-            stem = w.rstrip(_PUNCTUATION)
-            if stem.isalpha() and stem.islower() and b"<|" not in w:
-                ids = self._part(stem, True)
-                found.append(ids + self._part(w[len(stem) :], False) if len(stem) < len(w) else ids)
-            else:
-                odd.append(w)
-                found.append(None)
-        coded = iter(self.model.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False) if odd else ())
-        return [next(coded).ids if ids is None else ids for ids in found]
-
-    def _learn(self) -> None:
-        words, self.known.fresh = self.known.fresh, []
-        fresh = self._ids_of(words)
-        first = len(self.known) - len(words)
-        flat = np.array([i for ids in fresh for i in ids], dtype="<u4")
-        ends = self.ends[first] + np.cumsum([len(ids) for ids in fresh])
-        while first + len(words) + 1 > len(self.ends):
-            self.ends = np.append(self.ends, np.zeros_like(self.ends))
-        while ends[-1] > len(self.ids):
-            self.ids = np.append(self.ids, np.zeros_like(self.ids))
-        self.ids[self.ends[first] : ends[-1]] = flat
-        self.ends[first + 1 : first + 1 + len(words)] = ends
+    @staticmethod
+    def _stem(word: bytes) -> bytes:
+        """The word without the punctuation at its end, or all of it where they belong together."""
+        stem = word.rstrip(_PUNCTUATION)
+        if len(stem) == len(word) or stem.isascii():
+            return word if b"<|" in word else stem
+        return stem if stem.decode().lower()[-1].isalnum() and b"<|" not in word else word
+
+    @staticmethod
+    def _plain(part: bytes) -> str | None:
+        """The part as the vocabulary spells it, if it is one run of letters that normalise to themselves."""
+        if part.isalpha() and part.islower():
+            return part.decode()
+        if part.isascii():
+            return None
+        letters = part.decode()
+        if not letters.isalpha() or max(letters) > "\u017f" or "\u0130" in letters:
+            return None
+        return letters.lower().encode().decode("latin-1").translate(_BYTE_CHARS)
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Ids of words that :attr:`words` has just numbered."""
+        stems = list(map(self._stem, words))
+        tails = [w[len(s) :] for w, s in zip(words, stems, strict=True)]
+        fresh = self.parts.fresh([*stems, *tails])
+        spelt = list(map(self._plain, fresh))
+        odd = [p.decode() for p, s in zip(fresh, spelt, strict=True) if s is None]
+        coded = iter(self.model.encode_batch_fast(odd, add_special_tokens=False) if odd else ())
+        merge = self.model.model.tokenize
+        ids = [next(coded).ids if s is None else [t.id for t in merge(s)] for s in spelt]
+        self.parts.append(
+            np.fromiter(chain.from_iterable(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids))
+        )
+        halves = np.stack([self.parts.numbered(stems), self.parts.numbered(tails)], axis=1).ravel()
+        sizes = self.parts.sizes(halves)
+        self.words.append(self.parts.gather(halves, sizes), sizes[::2] + sizes[1::2])
+
+    def _encode_group(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        if len(self.words.numbers) > CACHED_WORDS:
+            self._forget()
+        words: list[bytes] = []
+        stops = [0]
+        for text in texts:
+            words += _split(text)
+            stops.append(len(words))
+        if fresh := self.words.fresh(words):
+            self._learn(fresh)
+        at = self.words.numbered(words)
+        sizes = self.words.sizes(at)
+        for a, b in pairwise(stops):
+            yield np.append(self.words.gather(at[a:b], sizes[a:b]), np.array([END_ID], "<u4"))
 
     def encode(self, texts: Iterable[bytes | None]) -> Iterator[np.ndarray]:
         """The ids of each text, with the end id."""
+        group, held = [], 0
         for text in texts:
-            if len(self.known) > CACHED_WORDS:
-                self._forget()
-            words = _split(text or b"")
-            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            if self.known.fresh:
-                self._learn()
-            starts = self.ends[at]
-            sizes = self.ends[at + 1] - starts
-            ids = np.empty(int(sizes.sum()) + 1, dtype="<u4")
-            ids[:-1] = self.ids[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(ids) - 1)]
-            ids[-1] = END_ID
-            yield ids
+            group.append(text or b"")
+            held += len(group[-1])
+            if held >= GROUP_BYTES:
+                yield from self._encode_group(group)
+                group, held = [], 0
+        yield from self._encode_group(group)
 
 
 @dataclass
@@ -279,7 +322,8 @@ def step_groups(lengths: list[int], step_ids: int = STEP_IDS) -> list[int]:
 class _Packer:
     """Packs one task's documents and gives rows of ``SCHEMA``."""
 
-    def __init__(self, part: int, tiers: tuple[int, ...]):
+    def __init__(self, part: int, tiers: tuple[int, ...], with_ids: bool = True):
+        self.with_ids = with_ids
         self.first = part << 40
         self.sequences = self.steps = 0
         self.tiers = tiers
@@ -311,7 +355,8 @@ class _Packer:
             offset = 0
             for p in window:
                 run = p.ids[p.start : p.start + p.length]
-                runs.append(run)
+                if self.with_ids:
+                    runs.append(run)
                 crc = zlib.crc32(run.tobytes())
                 rows.append(
                     (p.doc_id, p.start, p.length, crc, len(p.ids), self.first + self.sequences, offset, length,
@@ -322,20 +367,21 @@ class _Packer:
         self.steps += 1 + max((r[-1] - self.first - self.steps for r in rows), default=-1)
         self.windows, self.pieces, self.held = [], over, sum(p.length for p in over)
         types = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
-        names = [c.split()[0] for c in SCHEMA.split(", ")]  # ids come last
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
         columns = list(zip(*rows, strict=True)) or [[]] * len(types)
-        ends = np.cumsum([0, *map(len, runs)], dtype=np.int32)
-        flat = np.concatenate(runs).view("<i4") if runs else np.empty(0, "<i4")
-        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-        return pa.RecordBatch.from_arrays(
-            [*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), ids], names
-        )
+        arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+        if self.with_ids:
+            ends = np.cumsum([0, *map(len, runs)], dtype=np.int32)
+            flat = np.concatenate(runs).view("<i4") if runs else np.empty(0, "<i4")
+            names.append("ids")
+            arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+        return pa.RecordBatch.from_arrays(arrays, names)
 
 
-def _pack_batches(path: str, tiers: tuple[int, ...]):
+def _pack_batches(path: str, tiers: tuple[int, ...], with_ids: bool):
     def run(batches):
         tokenizer = WordTokenizer.load(path)
-        packer = _Packer(TaskContext.get().partitionId(), tiers)
+        packer = _Packer(TaskContext.get().partitionId(), tiers, with_ids)
         for batch in batches:
             coded = tokenizer.encode(texts_of(batch.column(1)))
             for doc_id, ids in zip(batch.column(0).to_pylist(), coded, strict=True):
@@ -352,19 +398,28 @@ def pack(
     text_col: str = "text",
     tokenizer: str | None = None,
     tiers: tuple[int, ...] = TIERS,
+    with_ids: bool = True,
 ) -> DataFrame:
     """One row for each piece of a document, see ``SCHEMA``.
 
     ``offset`` is the piece's place in its sequence, ``tier`` the sequence's
     length, ``ids`` the piece's token ids and ``ids_crc32`` the checksum of
-    their bytes (unsigned, 4 bytes each, little-endian).  A null or blank text is the end id alone; rows that repeat an id
-    are packed as often as they occur; null ids are carried through; other
-    columns are not read.  An empty table gives an empty one.
+    their bytes (unsigned, 4 bytes each, little-endian).  Without
+    ``with_ids`` the last column is left out; no optimiser can prune it.
+
+    A null or blank text is the end id alone; rows that repeat an id are
+    packed as often as they occur; null ids are carried through; other
+    columns, whatever their names, are not read.  A very long text is encoded
+    whole and cut into windows, so a task holds it and its ids once.  Pieces
+    of one length leave in the order of the input.  An empty table gives an
+    empty one.
     """
     slim = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
     )
-    return slim.mapInArrow(_pack_batches(tokenizer or default_tokenizer(), tiers), SCHEMA)
+    return slim.mapInArrow(
+        _pack_batches(tokenizer or default_tokenizer(), tiers, with_ids), SCHEMA + (IDS if with_ids else "")
+    )
 
 
 def sequences(packed: DataFrame) -> DataFrame:

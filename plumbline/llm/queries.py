@@ -69,7 +69,7 @@ def op8_norm_sorted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(_table(spark, sf_dir, "documents")).drop("ids")
+    return pack(_table(spark, sf_dir, "documents"), with_ids=False)
 
 
 def op10_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,6 +102,25 @@ def test_tokens_equal_whole_text_encoding():
         assert ids.tolist() == [*tokenizer.model.encode(text or "", add_special_tokens=False).ids, packing.END_ID]
 
 
+ALPHABET = st.sampled_from(["a", "B", "é", "É", "ß", "ñ", "ŀ", "İ", "ı", "Σ", "σ", "1", "²", "…", "'", "'s", ".", "!?", "<|", "|>", "_", " ", "\n", "的", "\u0301", "endoftext", "<|endoftext|>", "'ll", "Ⅷ", "ª", "\u0085", "🙂"])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(ALPHABET, max_size=25).map("".join))
+def test_any_text_is_encoded_as_a_whole_would_be(text):
+    tokenizer = packing.WordTokenizer.load(packing.default_tokenizer())
+    ids = next(tokenizer.encode([text.encode()]))
+    assert ids.tolist() == [*tokenizer.model.encode(text, add_special_tokens=False).ids, packing.END_ID]
+
+
+def test_groups_and_forgetting_change_nothing(monkeypatch):
+    texts = [t.encode() if t else t for t in TEXTS] + [(f"w{k} Wörter, é{k}." * 3).encode() for k in range(50)] + [b"x" * 300_000]
+    expected = [ids.tolist() for ids in packing.WordTokenizer(packing.default_tokenizer()).encode(texts)]
+    monkeypatch.setattr(packing, "GROUP_BYTES", 40)
+    monkeypatch.setattr(packing, "CACHED_WORDS", 20)
+    assert [ids.tolist() for ids in packing.WordTokenizer(packing.default_tokenizer()).encode(texts)] == expected
+
+
 @pytest.mark.parametrize("buffer", [1 << 20, 3000])
 def test_packing_round_trip(spark, buffer):
     rng = random.Random(3)
@@ -231,3 +250,5 @@ def test_packed_ids_are_the_texts(spark):
         assert r.ids == [x for p in sorted((p for p in pieces if p.sequence_id == r.sequence_id), key=lambda p: p.offset) for x in p.ids]
         assert len(r.ids) == r.tier
     assert len(found) == len({p.sequence_id for p in pieces})
+    bare = packing.pack(table(spark, rows), with_ids=False).collect()
+    assert sorted(map(str, bare)) == sorted(str(r) for r in packed.drop("ids").collect())
