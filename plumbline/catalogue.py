@@ -106,7 +106,8 @@ def _tokens(spark, sf_dir):
 
 @_query(_TOKENS_SQL + " SELECT doc_id, count(*) AS n_tokens FROM tokens GROUP BY doc_id")
 def q_tokens(spark, sf_dir):
-    return _tokens(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"))
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.size(text.identifiers(F.col("text"))).alias("n"))
+    return docs.where("n > 0").groupBy("doc_id").agg(F.sum("n").alias("n_tokens"))
 
 
 @_query(
@@ -334,19 +335,18 @@ def q_confidence(spark, sf_dir):
     )
 
 
-@_query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_suppkey AS k, epoch(l_shipdate)::BIGINT // 86400 AS a FROM lineitem)
-SELECT x.l_orderkey, x.l_linenumber FROM s x WHERE x.l_linenumber = 1 AND EXISTS
-  (SELECT 1 FROM s y WHERE y.l_linenumber = 2 AND y.k = x.k AND x.a <= y.a + 5 AND x.a + 5 >= y.a)""")
+@_query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_suppkey AS k, epoch(l_shipdate)::BIGINT // 86400 AS a FROM lineitem)
+SELECT x.l_orderkey, x.l_linenumber FROM s x WHERE x.l_returnflag <> 'R' AND EXISTS
+  (SELECT 1 FROM s y WHERE y.l_returnflag = 'R' AND y.k = x.k AND x.a <= y.a + 5 AND x.a + 5 >= y.a)""")
 def q_overlap(spark, sf_dir):
     spans = _t(spark, sf_dir, "lineitem").select(
         "l_orderkey",
         "l_linenumber",
+        "l_returnflag",
         "l_suppkey",
         F.floor(F.unix_timestamp("l_shipdate") / 86400).alias("a"),
     ).withColumn("b", F.col("a") + 5)
-    found = rel.overlap_semi(
-        spans.where("l_linenumber = 1"), spans.where("l_linenumber = 2"), "l_suppkey", "a", "b", width=64
-    )
+    found = rel.overlap_semi(spans.where("l_returnflag <> 'R'"), spans.where("l_returnflag = 'R'"), "l_suppkey", "a", "b")
     return found.select("l_orderkey", "l_linenumber")
 
 
@@ -391,12 +391,8 @@ FROM changed JOIN callers USING (c) LEFT JOIN covered USING (s) GROUP BY changed
 def q_blast_radius(spark, sf_dir):
     orders, items = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem")
     changed = orders.where("o_orderpriority = '1-URGENT' and o_totalprice > 400000").select(F.col("o_custkey").alias("changed")).distinct()
-    callers = (
-        items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(changed, F.col("o_custkey") == F.col("changed"))
-        .select("changed", "l_suppkey")
-        .distinct()
-    )
+    ordered = orders.join(changed, F.col("o_custkey") == F.col("changed")).select("changed", "o_orderkey")
+    callers = items.join(ordered, F.col("l_orderkey") == F.col("o_orderkey")).select("changed", "l_suppkey").distinct()
     covered = items.where("l_returnflag = 'A' and l_quantity > 49").select(F.col("l_suppkey").alias("s")).distinct()
     return callers.join(covered, F.col("l_suppkey") == F.col("s"), "left").groupBy("changed").agg(
         F.count(F.lit(1)).alias("n_callers"), F.count_if(F.col("s").isNull()).alias("n_uncovered")

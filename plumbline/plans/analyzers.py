@@ -13,6 +13,7 @@ from ..functions import fixed_rules as fixed
 from ..functions import globs, text
 from ..operators import relational as rel
 from ..sources import tree
+from ..storage import keep
 from .testtypes import classified
 from .views import Views
 
@@ -51,42 +52,46 @@ def _empty(value: Column, otherwise) -> Column:
 # -- coverage ---------------------------------------------------------------
 
 
-def covered_pairs(views: Views) -> DataFrame:
-    """``(path, symbol_ord, test_path)``: a test refers to the symbol's name, or its file name to the symbol's file.
-
-    Both are equi-joins; names that tests share are matched once a test.
-    """
-    refs = views.references.join(views.tests.select("path"), "path", "left_semi").select(
-        F.col("path").alias("test_path"), F.col("name").alias("ref")
-    )
-    symbols = views.symbols.select("path", "symbol_ord", "name")
-    direct = symbols.join(refs, F.col("name") == F.col("ref")).select("path", "symbol_ord", "test_path")
-    subject = F.regexp_replace(F.regexp_replace(text.stem(F.col("test_path")), "^test_", ""), "_test$", "")
-    file_stem = text.stem(F.col("path"))
-    fuzzy = (
-        symbols.withColumn("stem", file_stem)
-        .join(
-            refs.select("test_path", F.lower("ref").alias("ref"), subject.alias("subject")).distinct(),
-            (F.lower("stem") == F.col("ref")) & (F.col("subject") != "") & F.contains("stem", F.col("subject")),
-        )
-        .select("path", "symbol_ord", "test_path")
-    )
-    return direct.unionByName(fuzzy).distinct()
+def _by_type() -> list[Column]:
+    return [F.count_if(F.col("type") == t).alias(t) for t in fixed.TEST_TYPES] + [F.count(F.lit(1)).alias("total_tests")]
 
 
 def coverage_table(views: Views) -> DataFrame:
-    """Symbols with the number of test files of each type."""
-    typed = covered_pairs(views).join(
-        classified(views.tests).select(F.col("path").alias("test_path"), "type"), "test_path", "left"
+    """Symbols with the number of test files of each type.
+
+    A test covers a symbol if it refers to the symbol's name, or if its own
+    file name lies in that of the symbol's file and it refers to that.  Tests
+    are counted for each name and for each file stem before symbols come in,
+    so a name that many symbols and tests share makes no pairs; tests that
+    count both ways are taken off once.
+    """
+    types = classified(views.tests).select("path", F.coalesce("type", F.lit("unknown")).alias("type"))
+    refs = views.references.join(types, "path").select("path", F.col("name").alias("ref"), "type")
+    direct = refs.groupBy(F.col("ref").alias("name")).agg(*_by_type())
+    symbols = views.symbols.withColumn("stem", text.stem(F.col("path")))
+    subject = F.regexp_replace(F.regexp_replace(text.stem(F.col("path")), "^test_", ""), "_test$", "")
+    named = refs.select(F.col("path").alias("test_path"), F.lower("ref").alias("ref"), "type", subject.alias("subject")).distinct()
+    fuzzy = (
+        symbols.select("stem")
+        .distinct()
+        .join(named, (F.lower("stem") == F.col("ref")) & (F.col("subject") != "") & F.contains("stem", F.col("subject")))
+        .select("stem", "test_path", "type")
     )
-    counts = typed.groupBy("path", "symbol_ord").agg(
-        *[F.count_if(F.coalesce("type", F.lit("unknown")) == t).alias(t) for t in fixed.TEST_TYPES],
-        F.count(F.lit(1)).alias("total_tests"),
+    both = (
+        fuzzy.join(symbols.select("stem", "name").distinct(), "stem")
+        .join(refs.select(F.col("path").alias("test_path"), F.col("ref").alias("name")), ["test_path", "name"], "left_semi")
+        .groupBy("stem", "name")
+        .agg(*_by_type())
     )
     columns = [*fixed.TEST_TYPES, "total_tests"]
-    return views.symbols.join(counts, ["path", "symbol_ord"], "left").select(
-        *views.symbols.columns, *[_empty(F.col(c), 0).alias(c) for c in columns]
+    tagged = lambda table, tag: table.withColumnsRenamed({c: f"{tag}_{c}" for c in columns})
+    counted = (
+        symbols.join(tagged(direct, "direct"), "name", "left")
+        .join(tagged(fuzzy.groupBy("stem").agg(*_by_type()), "fuzzy"), "stem", "left")
+        .join(tagged(both, "both"), ["stem", "name"], "left")
     )
+    n = lambda c: _empty(F.col(f"direct_{c}"), 0) + _empty(F.col(f"fuzzy_{c}"), 0) - _empty(F.col(f"both_{c}"), 0)
+    return counted.select(*views.symbols.columns, *[n(c).alias(c) for c in columns])
 
 
 def unit_only(views: Views) -> DataFrame:
@@ -519,23 +524,37 @@ class BlastRadius:
 
     def callers(self, views: Views) -> DataFrame:
         """``(changed, changed_path, relation, caller, caller_path, caller_line, is_covered)``."""
-        edges = self.edges(views)
-        changed = self.changed(views).select(F.col("name").alias("changed"), F.col("path").alias("changed_path")).distinct()
+        edges = keep(self.edges(views), "edges")
+        changed = keep(
+            self.changed(views).select(F.col("name").alias("changed"), F.col("path").alias("changed_path")).distinct(), "changed"
+        )
         direct = changed.join(edges, F.col("changed") == F.col("callee")).withColumn("relation", F.lit("direct"))
-        found, level = direct, direct
-        seen = changed.select(F.col("changed").alias("root"), F.col("changed").alias("seen"))
+        found = level = keep(direct, "callers")
+        seen = changed.select(F.col("changed").alias("root"), F.col("changed").alias("seen")).distinct()
         for _ in range(self.depth - 1):
-            seen = seen.unionByName(level.select(F.col("changed").alias("root"), F.col("caller").alias("seen"))).distinct()
+            seen = seen.unionByName(level.select(F.col("changed").alias("root"), F.col("caller").alias("seen")).distinct())
             step = level.select("changed", "changed_path", F.col("caller").alias("via")).distinct()
-            level = (
-                rel.first_visitor(
-                    step.join(edges, F.col("via") == F.col("callee")).select("changed", "changed_path", *edges.columns),
+            reached = step.join(edges, F.col("via") == F.col("callee")).select("changed", "changed_path", *edges.columns)
+            fresh = reached.join(seen, (F.col("changed") == F.col("root")) & (F.col("caller") == F.col("seen")), "left_anti")
+            # the first that reaches a name, as one aggregate: a name that everybody calls is combined where it is read
+            place = F.struct("caller_path", "caller_ord", "caller_line", "changed_path", "callee")
+            level = keep(
+                fresh.groupBy("changed", "caller")
+                .agg(F.min(place).alias("first"))
+                .select(
+                    "changed",
+                    "first.changed_path",
+                    "first.callee",
                     "caller",
-                    ["changed", "caller_path", "caller_ord"],
-                )
-                .join(seen, (F.col("changed") == F.col("root")) & (F.col("caller") == F.col("seen")), "left_anti")
-                .withColumn("relation", F.lit("transitive"))
+                    "first.caller_path",
+                    "first.caller_ord",
+                    "first.caller_line",
+                    F.lit("transitive").alias("relation"),
+                ),
+                "callers",
             )
+            if not level.head(1):
+                break
             found = found.unionByName(level.select(found.columns))
         covered = (
             coverage_table(views).where("total_tests > 0").select(F.col("name").alias("covered_name")).distinct()
@@ -578,21 +597,42 @@ class BlastRadius:
 class Metrics:
     name, description = "metrics", "Lines, symbols and tests by language"
 
-    def analyze(self, views: Views) -> Result:
+    def by_file(self, views: Views) -> DataFrame:
+        """``(path, lang, is_test, loc, functions, classes, import_count)`` of every file."""
         counts = views.all_symbols.groupBy("path").agg(
             F.count_if(F.col("kind").isin("function", "method")).alias("functions"),
             F.count_if(F.col("kind") == "class").alias("classes"),
         )
-        joined = views.files.select("path", "lang", "loc", "is_test").join(counts, "path", "left")
-        table = joined.groupBy("lang").agg(
+        imports = F.size(file_imports(F.col("source"), F.col("path"))).alias("import_count")
+        return (
+            views.files.select("path", "lang", "is_test", "loc", imports)
+            .join(counts, "path", "left")
+            .select("path", "lang", "is_test", "loc", _empty(F.col("functions"), 0).alias("functions"), _empty(F.col("classes"), 0).alias("classes"), "import_count")
+        )
+
+    def totals(self, views: Views) -> DataFrame:
+        """One row: files, lines in all, of sources, of tests, and the ratio of tests to sources (0 without sources)."""
+        test, source = F.sum(F.when(F.col("is_test"), F.col("loc"))), F.sum(F.when(~F.col("is_test"), F.col("loc")))
+        return views.files.agg(
+            F.count(F.lit(1)).alias("n_files"),
+            _empty(F.sum("loc"), 0).alias("total_loc"),
+            _empty(source, 0).alias("source_loc"),
+            _empty(test, 0).alias("test_loc"),
+            _empty(F.round(F.try_divide(_empty(test, 0), source), 3), 0.0).alias("test_to_source_ratio"),
+        )
+
+    def analyze(self, views: Views) -> Result:
+        table = self.by_file(views).groupBy("lang").agg(
             F.count(F.lit(1)).alias("files"),
             F.count_if("is_test").alias("test_files"),
             F.sum("loc").alias("loc"),
-            _empty(F.sum("functions"), 0).alias("functions"),
-            _empty(F.sum("classes"), 0).alias("classes"),
+            F.sum("functions").alias("functions"),
+            F.sum("classes").alias("classes"),
         )
         share = F.round(F.col("files") * 100.0 / F.sum("files").over(Window.partitionBy(F.lit(0))), 1)  # a row a language
-        summary = table.agg(_said(_empty(F.sum("files"), 0), " files, ", _empty(F.sum("loc"), 0), " lines"))
+        summary = self.totals(views).select(
+            _said(F.col("n_files"), " files, ", F.col("total_loc"), " lines, ", F.col("test_to_source_ratio"), " test lines a source line")
+        )
         return Result(table.withColumn("share", share), summary)
 
 
@@ -612,3 +652,10 @@ def default_analyzers(stack: str | None = None, preset: str = "general") -> list
 def run(views: Views, analyzers: list[Analyzer], only: list[str] | None = None) -> dict[str, Result]:
     """Lazy results by name; ``only`` selects analyzers."""
     return {a.name: a.analyze(views) for a in analyzers if not only or a.name in only}
+
+
+def issue_totals(results: dict[str, Result]) -> DataFrame:
+    """``(analyzer, n_issues)`` of every result, and their sum under ``all``."""
+    counted = [r.issues.agg(F.count(F.lit(1)).alias("n_issues")).select(F.lit(n).alias("analyzer"), "n_issues") for n, r in results.items()]
+    each = rel.union_issues(*counted)
+    return each.unionByName(each.agg(F.sum("n_issues").alias("n_issues")).select(F.lit("all").alias("analyzer"), "n_issues"))

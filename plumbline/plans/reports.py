@@ -11,15 +11,20 @@ from ..functions import fixed_rules as fixed
 def in_order(name: str, issues: DataFrame) -> DataFrame:
     """Issues of the named analyzer as a person reads them; paths sort by component."""
     place = lambda column: F.split(column, "/")
-    rank = F.array_position(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), F.col("confidence") if "confidence" in issues.columns else F.lit(""))
+    has = set(issues.columns)
+    rank = F.array_position(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), F.col("confidence") if "confidence" in has else F.lit(""))
+    uncovered = [F.desc(F.col("total_tests") == 0)] if "total_tests" in has else []
+    sizes = [F.desc_nulls_last(c) for c in ("loc", "method_count") if c in has]
+    by_file = [place("file"), *(["line"] if "line" in has else [])] if "file" in has else []
     orders = {
-        "coverage": [place("file"), "line"] if "file" in issues.columns else [],
-        "observability": [place("file"), "line"] if "file" in issues.columns else [],
+        "coverage": uncovered + by_file,
+        "observability": by_file,
         "dead_code": [rank, "symbol"],
-        "solid": ["type", F.desc_nulls_last("method_count"), place("file")] if "method_count" in issues.columns else [],
-        "taxonomy": [place("file")] if "file" in issues.columns else [],
-        "folder_structure": [place("folder")] if "folder" in issues.columns else [],
-        "repo_rules": [place("file"), "line"] if "file" in issues.columns else [],
+        "solid": [*(["type"] if "type" in has else []), *sizes, *by_file],
+        "taxonomy": by_file,
+        "folder_structure": [place("folder")] if "folder" in has else [],
+        "repo_rules": by_file,
+        "metrics": [F.desc("files")] if "files" in has else [],
     }
     return issues.orderBy(*orders[name]) if orders.get(name) else issues
 
@@ -44,3 +49,9 @@ def change_graph(callers: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("is_covered"), "covered").otherwise("uncovered").alias("colour"),
     ).distinct()
     return nodes, edges
+
+
+def recent(visits: DataFrame, name: str, at: str, limit: int) -> DataFrame:
+    """The ``limit`` names visited last, latest first, each once."""
+    latest = visits.groupBy(name).agg(F.max(at).alias(at))
+    return latest.orderBy(F.desc(at), name).limit(limit)

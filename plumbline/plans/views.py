@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..sources import parse, tree
+from ..storage import keep
 
 
 @dataclass(frozen=True)
 class Views:
-    """Files and what one parse of them gives; everything is lazy but the cached parse."""
+    """Files and what one parse of them gives; the parse is written once, the rest is lazy."""
 
     files: DataFrame
     parsed: DataFrame
@@ -22,7 +22,7 @@ class Views:
 
     @classmethod
     def of(cls, files: DataFrame, root: str | None = None) -> Views:
-        parsed = parse.parse_files(files).persist(StorageLevel.MEMORY_AND_DISK)
+        parsed = keep(parse.parse_files(files), "parsed")
         return cls(files, parsed, tree.folders_table(files, root))
 
     @classmethod
@@ -60,4 +60,4 @@ class Views:
 
     def symbol_map(self, lang: str | None = None) -> DataFrame:
         found = self.symbols if lang is None else self.symbols.where(F.col("lang") == lang)
-        return found.select("name", "kind", "path", "line_start", "line_end", "lang", "parent_class", "is_public")
+        return found.select("name", "kind", "path", "line_start", "line_end", "lang", "parent_class", "is_public", "is_async")

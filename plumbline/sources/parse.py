@@ -10,12 +10,15 @@ from __future__ import annotations
 import ast
 import re
 import warnings
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Files whose texts a worker holds as Python strings.
+FILES_AT_ONCE = 64
 #: One row for each symbol, reference and call; ``tag`` says which.
 SCHEMA = (
     "path string, tag string, symbol_ord int, name string, kind string, line_start int, line_end int, lang string, "
@@ -106,8 +109,9 @@ _PY_DEF = re.compile(r"^([ \t]*)(async\s+)?(def|class)\s+(\w+)", re.M)
 def _python_by_lines(source: str) -> list[tuple]:
     """Definitions of a text that doesn't parse, by indentation."""
     rows, outer = [], []
+    places = _Places(source)
     for ord_, m in enumerate(_PY_DEF.finditer(source)):
-        depth, line = len(m[1].expandtabs()), source.count("\n", 0, m.start()) + 1
+        depth, line = len(m[1].expandtabs()), places.line(m.start())
         while outer and outer[-1][0] >= depth:
             outer.pop()
         parent = outer[-1][1] if outer and outer[-1][2] == "class" else None
@@ -128,14 +132,32 @@ def _blank(pattern: re.Pattern, source: str) -> str:
     return pattern.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
 
 
-def _close(text: str, at: int) -> int:
-    """Place of the brace that closes the one at ``at``."""
-    depth = 0
-    for m in re.finditer(r"[{}]", text[at:]):
-        depth += 1 if m[0] == "{" else -1
-        if not depth:
-            return at + m.start()
-    return len(text) - 1
+class _Places:
+    """Lines and braces of a text, found once."""
+
+    def __init__(self, text: str):
+        self.size = len(text)
+        self.breaks = [m.start() for m in re.finditer("\n", text)]
+        self.braces, self.depths, self.closing, open_ = [], [], {}, []
+        for m in re.finditer(r"[{}]", text):
+            if m[0] == "{":
+                open_.append(m.start())
+            elif open_:
+                self.closing[open_.pop()] = m.start()
+            self.braces.append(m.start())
+            self.depths.append((self.depths[-1] if self.depths else 0) + (1 if m[0] == "{" else -1))
+
+    def line(self, at: int) -> int:
+        return bisect_left(self.breaks, at) + 1
+
+    def depth(self, at: int) -> int:
+        """Braces open before ``at``, less those closed."""
+        k = bisect_left(self.braces, at)
+        return self.depths[k - 1] if k else 0
+
+    def close(self, at: int) -> int:
+        """Place of the brace that closes the one at ``at``, or of the text's end."""
+        return self.closing.get(at, self.size - 1)
 
 
 _RUST = re.compile(
@@ -147,19 +169,22 @@ _RUST = re.compile(
 
 def _rust(source: str) -> list[tuple]:
     text = _blank(_RUST_HIDDEN, source)
-    line_of = lambda at: text.count("\n", 0, at) + 1
+    places = _Places(text)
+    line_of, count = places.line, 0
     rows, impls = [], []
     for m in _RUST.finditer(text):
         start = m.start() + len(m[0]) - len(m[0].lstrip())
         brace, semi = text.find("{", m.end()), text.find(";", m.end())
         has_body = brace >= 0 and not 0 <= semi < brace
-        end = _close(text, brace) if has_body else (semi if semi >= 0 else m.end() - 1)
+        end = places.close(brace) if has_body else (semi if semi >= 0 else m.end() - 1)
         if m["impl"] is not None:
             about = re.sub(r"\bwhere\b.*", "", re.sub(r"^\s*<[^>]*>", "", m["impl"]), flags=re.S)
             impls.append((start, end, re.split(r"\bfor\b", about)[-1].strip()))
             continue
-        inside = [i for i in impls if i[0] < start <= i[1]]
-        ord_ = sum(r[0] == "symbol" for r in rows)
+        while impls and impls[-1][1] < start:  # blocks that ended before hold nothing more
+            impls.pop()
+        inside = [i for i in impls[-1:] if i[0] < start]
+        ord_, count = count, count + 1
         if m["type"]:
             rows.append(_symbol(ord_, m["type"], "class", line_of(start), line_of(end), "rust"))
             continue
@@ -185,14 +210,18 @@ _DART_NOT = {"if", "for", "while", "switch", "catch", "return", "assert", "super
 
 def _dart(source: str) -> list[tuple]:
     text = _blank(_HIDDEN, source)
-    line_of = lambda at: text.count("\n", 0, at) + 1
-    classes = [(m.start(), m.end() - 1, _close(text, m.end() - 1), m[1]) for m in _DART_CLASS.finditer(text)]
+    places = _Places(text)
+    line_of = places.line
+    classes = [(m.start(), m.end() - 1, places.close(m.end() - 1), m[1]) for m in _DART_CLASS.finditer(text)]
+    ahead, around = list(reversed(classes)), []
     found = [(a + len(text[a:b]) - len(text[a:b].lstrip()), "class", name, None, end, None) for a, b, end, name in classes]
     busy_until = -1
     for m in _DART_FN.finditer(text):
         start = m.start() + len(m[0]) - len(m[0].lstrip())
-        owner = [c for c in classes if c[1] < start < c[2]]
-        depth = text.count("{", 0, start) - text.count("}", 0, start)
+        while ahead and ahead[-1][1] < start:
+            around.append(ahead.pop())
+        around = owner = [c for c in around if c[2] > start]
+        depth = places.depth(start)
         if start < busy_until or m["name"] in _DART_NOT or depth != len(owner):
             continue
         if re.match(r"\s*(return|await|throw|else|new)\b", text[m.start() : m.end()]):
@@ -200,7 +229,7 @@ def _dart(source: str) -> list[tuple]:
         brace = text.find("{", m.end())
         body = (m.end(), m.end())
         if text[m.end() : m.end() + 1] == "{":
-            body = (brace, _close(text, brace))
+            body = (brace, places.close(brace))
         elif text[m.end() : m.end() + 2] == "=>":
             stop = text.find(";", m.end())
             body = (m.end(), stop if stop >= 0 else len(text))
@@ -231,13 +260,15 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
              pa.list_(pa.string()), pa.string(), pa.bool_(), pa.bool_()]
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     for batch in batches:
-        rows = [
-            (path, *row)
-            for path, lang, source in zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            for row in parse_source(source, lang)
-        ]
-        columns = list(zip(*rows, strict=True)) or [[]] * len(types)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+        for at in range(0, batch.num_rows, FILES_AT_ONCE):
+            few = batch.slice(at, FILES_AT_ONCE)
+            rows = [
+                (path, *row)
+                for path, lang, source in zip(*(c.to_pylist() for c in few.columns), strict=True)
+                for row in parse_source(source, lang)
+            ]
+            columns = list(zip(*rows, strict=True)) or [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
 def parse_files(files: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from typing import TextIO
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,10 +14,19 @@ def as_json_rows(name: str, issues: DataFrame) -> DataFrame:
     return issues.select(F.lit(name).alias("analyzer"), F.to_json(F.struct("*")).alias("issue"))
 
 
-def report_json(results: dict, limit: int = 10_000) -> str:
-    """``{analyzer: {summary, issues}}`` for people; at most ``limit`` issues of each are fetched."""
-    out = {}
+def write_report(results: dict, out: TextIO) -> None:
+    """``{analyzer: {summary, issues}}`` with every issue, which stream through the driver a partition at a time."""
+    out.write("{")
+    for k, (name, result) in enumerate(results.items()):
+        summary = json.dumps(result.summary.first()[0], ensure_ascii=False)
+        out.write(f'{"," if k else ""}\n  {json.dumps(name)}: {{"summary": {summary}, "issues": [')
+        for n, row in enumerate(as_json_rows(name, result.issues).toLocalIterator()):
+            out.write(("," if n else "") + "\n    " + row.issue)
+        out.write("]}")
+    out.write("\n}\n")
+
+
+def write_tables(results: dict, folder: str) -> None:
+    """Every analyzer's issues as JSON lines in a folder of its name, written by the executors."""
     for name, result in results.items():
-        rows = as_json_rows(name, result.issues).limit(limit).collect()
-        out[name] = {"summary": result.summary.first()[0], "issues": [json.loads(r.issue) for r in rows]}
-    return json.dumps(out, indent=2, ensure_ascii=False)
+        as_json_rows(name, result.issues).select("issue").write.text(f"{folder.rstrip('/')}/{name}")

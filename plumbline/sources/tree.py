@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import os
+import subprocess
 import tomllib
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_rules as fixed
 from ..functions import globs, text
+from ..operators import relational as rel
+from ..storage import keep
 
 FILES_SCHEMA = "path string, lang string, loc int, is_test boolean, source string, imports array<string>"
+#: Folders that the driver lists before it writes them.
+LISTED_AT_ONCE = 50_000
 
 
 def is_test_path(path):
@@ -65,19 +69,16 @@ def scan_tree(spark: SparkSession, root: str) -> DataFrame:
 def folders_table(files: DataFrame, root: str | None = None) -> DataFrame:
     """``(path, n_files, children)``: direct source files and subfolders of each folder below the root.
 
-    Folders follow from file paths; with a local ``root``, empty ones are
-    listed too.
+    Folders follow from file paths; with a ``root``, in any store that Spark
+    reads, those without source files are listed too.
     """
     spark = files.sparkSession
     parts = F.split("path", "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
     own = files.select(text.parent(F.col("path")).alias("folder")).where("folder <> ''").groupBy("folder").count()
     folders = files.where(F.size(parts) > 1).select(F.explode(prefixes).alias("folder"))
-    if root and os.path.isdir(root):
-        listed = [
-            os.path.relpath(os.path.join(d, x), root).replace(os.sep, "/") for d, names, _ in os.walk(root) for x in names
-        ]
-        folders = folders.unionByName(spark.createDataFrame([(x,) for x in listed], "folder string"))
+    if root:
+        folders = folders.unionByName(listed_folders(spark, root))
     ignored = F.array(*[F.lit(x) for x in fixed.IGNORED_FOLDERS])
     folders = folders.where(~F.arrays_overlap(F.split("folder", "/"), ignored)).distinct()
     inside = (
@@ -96,19 +97,51 @@ def folders_table(files: DataFrame, root: str | None = None) -> DataFrame:
     )
 
 
+def listed_folders(spark: SparkSession, root: str) -> DataFrame:
+    """``(folder)``: every folder below ``root``, empty ones too, as the store lists them.
+
+    Level by level from the driver; each level's names go to the table in
+    slices, so the driver never holds a tree's folders at once.
+    """
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, slice_, open_ = spark.createDataFrame([], "folder string"), [], [("", base)]
+    while open_:
+        below, path = open_.pop()
+        if not system.exists(path):
+            continue
+        for status in system.listStatus(path):
+            name = status.getPath().getName()
+            if status.isDirectory() and name not in fixed.IGNORED_FOLDERS:
+                inner = f"{below}/{name}" if below else name
+                slice_.append((inner,))
+                open_.append((inner, status.getPath()))
+        if slice_ and (len(slice_) >= LISTED_AT_ONCE or not open_):
+            found, slice_ = found.unionByName(keep(spark.createDataFrame(slice_, "folder string"), "folders")), []
+    return found
+
+
+def git_diff(spark: SparkSession, root: str | Path, base: str | None = "HEAD") -> DataFrame:
+    """``(diff_id, text)`` of a work tree against ``base``, or of what is staged where that is None."""
+    against = [base] if base else ["--cached"]
+    run = subprocess.run(["git", "diff", "--no-color", *against], cwd=root, capture_output=True, text=True, check=True)
+    return spark.createDataFrame([(0, run.stdout)], "diff_id int, text string")
+
+
 def parse_diff(diffs: DataFrame) -> DataFrame:
     """``(path, start, end)`` of a unified diff's new-side hunks, from ``(diff_id, text)`` rows.
 
-    The current file is carried forward over a diff's lines; a hunk without a
-    count has one line, one of no lines is dropped.
+    The current file is carried forward over a diff's lines, whose order a
+    diff of any size may be dealt by; a hunk without a count has one line, one
+    of no lines is dropped.
     """
     lines = diffs.select("diff_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     target = F.when(F.col("line").rlike(r"^\+\+\+ "), F.regexp_extract("line", r"^\+\+\+ (?:b/)?([^\t\r]*)", 1))
-    over = Window.partitionBy("diff_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     hunk = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
     count = F.regexp_extract("line", hunk, 2)
+    marked = lines.withColumn("target", target).where(F.col("target").isNotNull() | F.col("line").rlike(hunk))
     return (
-        lines.withColumn("path", F.last(target, ignorenulls=True).over(over))
+        rel.forward_fill(marked, "diff_id", ["pos"], F.col("target"), "path", spread=True)
         .where(F.col("line").rlike(hunk) & F.col("path").isNotNull() & (F.col("path") != "/dev/null"))
         .select(
             "path",

@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import io
+import json
+import subprocess
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,8 +253,33 @@ def test_classifier(spark, path, imports, markers, kind, signal):
 def test_json_and_selection(views):
     results = an.run(views, an.default_analyzers("flutter-riverpod", "python"), only=["solid", "metrics"])
     assert set(results) == {"solid", "metrics"}
-    text = sinks.report_json(results)
-    assert '"summary": "7 files, 75 lines"' in text and "soc_violation" in text
+    out = io.StringIO()
+    sinks.write_report(results, out)
+    report = json.loads(out.getvalue())
+    assert report["metrics"]["summary"].startswith("7 files, 75 lines")
+    assert {i["type"] for i in report["solid"]["issues"]} >= {"soc_violation"}
+    assert len(report["solid"]["issues"]) == results["solid"].issues.count()
+    totals = {r.analyzer: r.n_issues for r in an.issue_totals(results).collect()}
+    assert totals == {k: len(report[k]["issues"]) for k in report} | {"all": sum(len(report[k]["issues"]) for k in report)}
+
+
+def test_empty_folders_are_listed(spark, tmp_path):
+    for name in ("a/b/c", "node_modules/x", "d"):
+        (tmp_path / name).mkdir(parents=True)
+    assert {r.folder for r in tree.listed_folders(spark, str(tmp_path)).collect()} == {"a", "a/b", "a/b/c", "d"}
+    assert tree.listed_folders(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_git_diffs(spark, tmp_path):
+    git = lambda *a: subprocess.run(["git", "-c", "user.name=n", "-c", "user.email=e", *a], cwd=tmp_path, check=True, capture_output=True)
+    git("init", "-q")
+    (tmp_path / "a.py").write_text("x = 1\n")
+    git("add", "."), git("commit", "-qm", "one")
+    (tmp_path / "a.py").write_text("x = 1\ny = 2\n")
+    spans = lambda diff: [tuple(r) for r in tree.parse_diff(diff).collect()]
+    assert spans(tree.git_diff(spark, tmp_path)) and not spans(tree.git_diff(spark, tmp_path, None))
+    git("add", ".")
+    assert spans(tree.git_diff(spark, tmp_path, None))[0][0] == "a.py"
 
 
 def test_load_analyzer():

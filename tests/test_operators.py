@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from plumbline.functions import globs, text
@@ -66,11 +68,46 @@ def test_scan_rules_takes_the_first_literal(spark):
     assert rel.scan_rules(docs, [], ["id"], F.split("body", "\n")).count() == 0
 
 
-def test_overlap_with_and_without_buckets(spark):
-    left = spark.createDataFrame([("a", 1, 5), ("a", 6, 9), ("b", 1, 1), ("a", 1, 5), (None, 1, 5)], "k string, s int, e int")
-    right = spark.createDataFrame([("a", 5, 5), ("a", 4, 6), ("b", 2, 3)], "k string, s int, e int")
-    for width in (None, 2):
-        assert rows(rel.overlap_semi(left, right, "k", "s", "e", width)) == [("a", 1, 5), ("a", 1, 5), ("a", 6, 9)]
+def test_overlap(spark):
+    left = spark.createDataFrame([("a", 1, 5), ("a", 6, 9), ("b", 1, 1), ("a", 1, 5), (None, 1, 5), ("a", 7, None)], "k string, s int, e int")
+    right = spark.createDataFrame([("a", 5, 5), ("a", 4, 6), ("b", 2, 3), ("a", None, 9)], "k string, s int, e int")
+    assert rows(rel.overlap_semi(left, right, "k", "s", "e")) == [("a", 1, 5), ("a", 1, 5), ("a", 6, 9)]
+
+
+def test_overlap_equals_brute_force(spark):
+    rng = random.Random(2)
+    spans = lambda n: [(rng.choice("aaab"), s := rng.randrange(300), s + rng.randrange(6)) for _ in range(n)]
+    one, two = spans(200), spans(60)
+    made = lambda x: spark.createDataFrame(x, "k string, s int, e int")
+    expected = sorted(x for x in one if any(x[0] == y[0] and x[1] <= y[2] and x[2] >= y[1] for y in two))
+    assert rows(rel.overlap_semi(made(one), made(two), "k", "s", "e")) == expected
+
+
+@pytest.mark.parametrize("how, merge", [("last", lambda xs: xs[-1]), ("max", max), ("sum", sum)])
+@pytest.mark.parametrize("keyed, spread, current", [(True, True, True), (True, False, True), (True, True, False), (False, True, True)])
+def test_running_values(spark, how, merge, keyed, spread, current):
+    rng = random.Random(3)
+    table = [(k, rng.choice(["hot", "hot", "hot", "a", None]), rng.choice([None, None, rng.randrange(99)])) for k in range(300)]
+    df = spark.createDataFrame(table, "n int, k string, v int").repartition(5)
+    found = rel.running(df, ["k"] if keyed else [], ["n"], F.col("v"), "r", how, spread, current)
+    assert found.columns == ["n", "k", "v", "r"]
+    expected = []
+    for n, k, v in table:
+        before = [x for m, j, x in table if (j == k or not keyed) and (m < n or m == n and current) and x is not None]
+        expected.append((n, k, v, merge(before) if before else None))
+    assert sorted(map(str, found.collect())) == sorted(str(Row(n=n, k=k, v=v, r=r)) for n, k, v, r in expected)
+    assert rel.running(df.limit(0), ["k"], ["n"], F.col("v"), "r", how, spread).count() == 0
+
+
+def test_many_rules(spark):
+    rules = [{"name": f"r{k}", "severity": "error", "message": "m", "forbidden": [f"<{k}>"]} for k in range(1001)]
+    docs = spark.createDataFrame([(1, "<7> <1000>"), (2, "x")], "id int, body string")
+    assert rows(rel.scan_rules(docs, rules, ["id"], F.split("body", "\n")), "id", "rule") == [(1, "r1000"), (1, "r7")]
+
+
+def test_reach_ends_by_itself(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(9)] + [(9, 0)], "src int, dst int")
+    assert rows(rel.bounded_reach(edges, spark.createDataFrame([(3,)], "node int")), "node", "depth") == sorted(((3 + d) % 10, d) for d in range(10))
 
 
 def test_graph(spark):
