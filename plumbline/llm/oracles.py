@@ -7,8 +7,6 @@ from . import quality_rules as rules
 
 
 def quality_rules() -> str:
-    common = ", ".join(f"'{w}'" for w in sorted({w for x in rules.COMMON_WORDS.values() for w in x.split()}))
-    langs = ", ".join(f"'{x}'" for x in rules.COMMON_WORDS)
     steps = "t0"
     chain = []
     for k, (_, pattern) in enumerate(rules.CLASSES):
@@ -23,7 +21,7 @@ def quality_rules() -> str:
     return f"""
 WITH s0 AS (
   SELECT doc_id, coalesce(text, '') AS {steps},
-         CASE WHEN lang IN ({langs}) THEN lang ELSE 'other' END AS lang,
+         CASE WHEN trim(lang) <> '' THEN lang END AS lang,
          list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws
   FROM documents
 ), {", ".join(chain)},
@@ -42,27 +40,29 @@ m AS (
 ), words AS (
   SELECT doc_id, lang, rtrim(lower(w), '.,;:!?') AS w FROM (SELECT doc_id, lang, unnest(ws) AS w FROM m)
 ), doc_words AS (
-  SELECT doc_id, lang, w, count(*)::BIGINT AS c FROM words WHERE w IN ({common}) GROUP BY ALL
+  SELECT doc_id, lang, w, count(*)::BIGINT AS c FROM words GROUP BY ALL
 ), lang_sums AS (
-  SELECT lang, sum(n) AS words, {", ".join(f"sum(c{k}) AS r{k}" for k in width)}, sum(chars) AS chars FROM m GROUP BY lang
+  SELECT lang, sum(n) AS words, {", ".join(f"sum(c{k}) AS r{k}" for k in width)}, sum(chars) AS chars
+  FROM m WHERE lang IS NOT NULL GROUP BY lang
 ), refs AS (
   SELECT * FROM lang_sums WHERE chars >= {rules.MIN_REFERENCE_CHARS}
 ), ref_words AS (
   SELECT d.lang, d.w, sum(d.c) / any_value(r.words)::DOUBLE AS q
   FROM doc_words d JOIN refs r USING (lang) WHERE r.words >= {rules.MIN_REFERENCE_WORDS} GROUP BY d.lang, d.w
+  HAVING sum(d.c) * {rules.COMMON_PART} >= any_value(r.words)
 ), ref_rest AS (
   SELECT lang, 1 - sum(q) AS q FROM ref_words GROUP BY lang
+), held AS (
+  SELECT d.doc_id, d.c, r.q FROM doc_words d JOIN ref_words r ON r.lang = d.lang AND r.w = d.w
 ), class_terms AS (
   {" UNION ALL ".join(f"SELECT doc_id, c{k} / m.chars::DOUBLE AS p, r{k} / r.chars::DOUBLE AS q FROM m JOIN refs r USING (lang) WHERE m.chars >= {rules.MIN_CHARS}" for k in width)}
 ), class_distance AS (
   SELECT doc_id, sqrt(greatest(sum({term}) + 0.5 * greatest(1 - sum(q), 0), 0)) AS d FROM class_terms WHERE p > 0 GROUP BY doc_id
 ), common_terms AS (
-  SELECT d.doc_id, d.c / m.n::DOUBLE AS p, coalesce(r.q, 0) AS q
-  FROM doc_words d JOIN m USING (doc_id) LEFT JOIN ref_words r ON r.lang = d.lang AND r.w = d.w
-  WHERE m.n >= {rules.MIN_JUDGED_WORDS} AND d.lang IN (SELECT lang FROM ref_rest)
+  SELECT h.doc_id, h.c / m.n::DOUBLE AS p, h.q FROM held h JOIN m USING (doc_id) WHERE m.n >= {rules.MIN_JUDGED_WORDS}
   UNION ALL
   SELECT m.doc_id, (m.n - coalesce(x.c, 0)) / m.n::DOUBLE, r.q
-  FROM m JOIN ref_rest r USING (lang) LEFT JOIN (SELECT doc_id, sum(c) AS c FROM doc_words GROUP BY doc_id) x USING (doc_id)
+  FROM m JOIN ref_rest r USING (lang) LEFT JOIN (SELECT doc_id, sum(c) AS c FROM held GROUP BY doc_id) x USING (doc_id)
   WHERE m.n >= {rules.MIN_JUDGED_WORDS}
 ), common_distance AS (
   SELECT doc_id, sqrt(greatest(sum({term}) + 0.5 * greatest(1 - sum(q), 0), 0)) AS d FROM common_terms WHERE p > 0 GROUP BY doc_id
@@ -136,6 +136,7 @@ SELECT conv_id, turn::BIGINT AS turn,
        lag(turn) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS parent_turn,
        min(turn) OVER (PARTITION BY conv_id)::BIGINT AS root_turn,
        (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS depth,
+       (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS reply_ordinal,
        md5(rtrim(coalesce(text, ''), ' ' || chr(9) || chr(10))) AS own_text_md5
 FROM conversations
 """

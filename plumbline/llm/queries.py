@@ -18,7 +18,7 @@ from .quality_rules import quality_report
 from .quote_threads import as_mails, link_quotations
 from .sharding import read_shards, write_shards
 from .simhash import near_duplicates
-from .storage import new_path
+from ..storage import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,7 @@ def op4_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("parent").alias("parent_turn"),
         F.col("root").alias("root_turn"),
         "depth",
+        F.col("ordinal").alias("reply_ordinal"),
         F.md5(F.col("own_text").cast("binary")).alias("own_text_md5"),
     )
 

@@ -2,29 +2,47 @@
 
 Lines are told apart by their nesting of ``>``; runs of one level are
 passages, and passages fall into paragraphs and lines, so that a trimmed
-quotation is found too.  Normalised texts are hashed and joined to the
-messages that wrote them.  A hash keeps one writer, the first of its scope, before it is
-joined, so text that everybody quotes adds no pairs.  Parents found, the
-reply order follows by pointer doubling over the links.
+quotation is found too.  Normalised texts are hashed, and a quotation hangs
+under the nearest earlier message that wrote its hash.  Writers and askers of
+a hash stand in one table in the order of messages, where the last writer is
+carried forward, so text that everybody writes and quotes adds no pairs and
+is spread over tasks.  Parents found, threads follow by pointer doubling over
+the links, and the reply order by counting a thread's messages.
+
+Lines of a message that would read as a quotation or an attribution are
+stuffed with a blank when they are sent, which is taken off when they are
+read.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import keep
+from ..operators.relational import running
+from ..storage import keep
 
 #: Grains of a part, from the largest.
 LEVEL, PARAGRAPH, LINE = 2, 1, 0
 
-_MARK = r"^((?:>[ \t]?)*)"
+# possessive, so a mark of any length is matched in a loop and not by recursion
+_MARK = r"^(?:>[ \t]?)*+"
+_ATTRIBUTION = r"(?:On .* wrote:|.* schrieb am .*:|Le .* a écrit :)\s*$"
+#: Lines that are sent with one blank more.
+_STUFFED = rf"^(?= *(?:>|{_ATTRIBUTION}))"
+_UNSTUFFED = rf"^ (?= *(?:>|{_ATTRIBUTION}))"
 
 
 def _level(line: Column) -> Column:
-    return F.length(F.regexp_replace(F.regexp_extract(line, _MARK, 1), r"[ \t]", ""))
+    mark = F.regexp_extract(line, _MARK, 0)
+    return F.length(mark) - F.length(F.replace(mark, F.lit(">"), F.lit("")))
+
+
+def stuffed(text: Column) -> Column:
+    """The text with a blank before each line that would read as a quotation or an attribution."""
+    return F.array_join(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, _STUFFED, " ")), "\n")
 
 
 def normalised(lines: Column) -> Column:
@@ -48,18 +66,18 @@ def parse_quotes(messages: DataFrame, text_col: str = "text") -> DataFrame:
     its paragraphs (``PARAGRAPH``), which end at blank lines too, and its
     lines (``LINE``), where they have a letter or digit.
     """
-    lines = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"\r?\n")
-    attribution = r"^(On .* wrote:|.* schrieb am .*:|Le .* a écrit :)\s*$"
+    lines = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")
     parsed = messages.withColumn(
         "_lines",
         F.filter(
             F.transform(
-                lines,
+                F.filter(lines, lambda x: ~x.rlike("^" + _ATTRIBUTION)),
                 lambda x: F.struct(
-                    _level(x).alias("level"), F.regexp_replace(x, _MARK, "").alias("line")
+                    _level(x).alias("level"),
+                    F.regexp_replace(F.regexp_replace(x, _MARK, ""), _UNSTUFFED, "").alias("line"),
                 ),
             ),
-            lambda x: ~((x["level"] == 0) & x["line"].rlike(attribution)),
+            lambda x: x["line"].isNotNull(),
         ),
     )
     at = F.col("_lines")
@@ -157,24 +175,61 @@ def _depths(links: DataFrame) -> DataFrame:
             return _under(settled).drop("final")
 
 
+#: Values of a message's place that one stretch of a thread counts over.
+STRETCH = 4096
+
+
+def _reply_order(placed: DataFrame) -> DataFrame:
+    """Adds ``ordinal``, the 0-based place in the thread: by message, since replies come after what they answer.
+
+    Counted stretch by stretch, so a thread of any length is spread over tasks.
+    """
+    stretch = placed.withColumn("stretch", F.floor(F.col("msg") / STRETCH))
+    sizes = stretch.groupBy("scope", "root", "stretch").agg(F.count(F.lit(1)).alias("held"))
+    before = running(sizes, ["scope", "root"], ["stretch"], F.col("held"), "before", "sum", spread=True, current=False).select(
+        F.col("scope").alias("s"), F.col("root").alias("r"), F.col("stretch").alias("t"), F.coalesce("before", F.lit(0)).alias("before")
+    )
+    inside = F.row_number().over(Window.partitionBy("scope", "root", "stretch").orderBy("msg")) - 1
+    same = F.col("scope").eqNullSafe(F.col("s")) & (F.col("root") == F.col("r")) & (F.col("stretch") == F.col("t"))
+    return stretch.withColumn("inside", inside).join(before, same).withColumn("ordinal", F.col("before") + F.col("inside")).select(
+        *placed.columns, "ordinal"
+    )
+
+
+def _nearest(written: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` with ``writer``: the latest earlier message of the scope that wrote the hash."""
+    rows = asked.withColumns({"writes": F.lit(0), "own": F.lit(None).cast("long")}).unionByName(
+        written.withColumns({"writes": F.lit(1), "own": F.col("msg")}), allowMissingColumns=True
+    )
+    # at one message askers come first, so a message doesn't answer itself
+    filled = running(rows, ["scope", "hash", "whole"], ["msg", "writes"], F.col("own"), "writer", "last", spread=True)
+    return filled.where("writes = 0 and writer is not null").select(*asked.columns, "writer")
+
+
 def link_quotations(
     messages: DataFrame, scope_col: str = "conv_id", order_col: str = "turn", text_col: str = "text"
 ) -> DataFrame:
-    """``(scope, msg, parent, root, depth, own_text, n_passages)``, one row for each message.
-
-    ``parent`` is the message that the quotation comes from: the first of
-    the same scope whose own text and quotation equal the quoted and nested
-    text, else whose own text equals the quoted text, else which wrote one of
-    the quoted passages; else of which the quotation is a part: which wrote,
-    among other text, all of the quoted text, else a passage, a paragraph or
-    a line of it.  Where nothing of level 1 is found, the deeper levels are
-    asked in the same way, one after the other, so a reply whose direct
-    parent is missing hangs under the message quoted deeper.  Of several
-    candidates the latest is the parent.  Only earlier messages count.  ``root`` starts the
-    thread and ``depth`` counts the replies to it.  Null or empty texts quote
-    nothing and are quoted by nothing; of rows that repeat a scope and order
-    the largest text counts; a null order has no place and is left out; an
-    empty table gives an empty one.
+    """``(scope, msg, parent, root, depth, ordinal, own_text, n_passages)``, one row for each message.
+
+    ``parent`` is the message that the quotation comes from: one of the same
+    scope whose own text and quotation equal the quoted and nested text, else
+    whose own text equals the quoted text, else which wrote one of the quoted
+    passages; else of which the quotation is a part: which wrote, among other
+    text, all of the quoted text, else a passage, a paragraph or a line of
+    it.  Where nothing of level 1 is found, the deeper levels are asked in
+    the same way, one after the other, so a reply whose direct parent is
+    missing hangs under the message quoted deeper.  Only earlier messages
+    count, and of several candidates the latest is the parent, so of messages
+    that say the same the nearest is answered.
+
+    ``root`` starts the thread, ``depth`` counts the replies to it,
+    ``ordinal`` is the message's place in the thread and ``own_text`` its
+    text without quotations.  Null or empty texts quote nothing and are
+    quoted by nothing; very long texts, lines and marks are read whole; of
+    rows that repeat a scope and order the largest text counts; a null scope
+    is a scope of its own; a null order has no place and is left out; other
+    columns, whatever their names, are not read; an empty table gives an
+    empty one.
     """
     unique = (
         messages.select(
@@ -207,8 +262,7 @@ def link_quotations(
         )
         .select("scope", "msg", "key.whole", "key.hash")
         .where("hash is not null")
-        .groupBy("scope", "hash", "whole")
-        .agg(F.min("msg").alias("writer"))
+        .distinct()
     )
     keyed = lambda level, rank, column: F.struct(
         level.cast("int").alias("level"), F.lit(rank).cast("int").alias("rank"), column.alias("hash")
@@ -237,17 +291,12 @@ def link_quotations(
         .select("scope", "msg", "key.level", "key.rank", "key.hash")
         .where("hash is not null")
         .distinct()
-    )
-    writers = keep(written, "writers").select(
-        F.col("scope").alias("s"), F.col("hash").alias("h"), "whole", "writer"
+        .withColumn("whole", F.explode(F.array(F.lit(True), F.lit(False))))
     )
     # whole messages and passages that quoted text or passages equal come before all that are parts
     first = F.col("whole") & (F.col("rank") >= 3)
     parents = (
-        asked.join(
-            writers,
-            F.col("scope").eqNullSafe(F.col("s")) & (F.col("hash") == F.col("h")) & (F.col("writer") < F.col("msg")),
-        )
+        _nearest(written, asked)
         .groupBy("scope", "msg")
         .agg(F.max(F.struct(-F.col("level"), first, "rank", "whole", "writer")).alias("best"))
         .select(F.col("scope").alias("s"), F.col("msg").alias("m"), F.col("best.writer").alias("parent"))
@@ -258,28 +307,34 @@ def link_quotations(
         ),
         "linked",
     )
-    placed = _depths(linked).select(F.col("scope").alias("s"), F.col("msg").alias("m"), "root", "depth")
+    placed = _reply_order(_depths(linked)).select(F.col("scope").alias("s"), F.col("msg").alias("m"), "root", "depth", "ordinal")
     return linked.join(placed, F.col("scope").eqNullSafe(F.col("s")) & (F.col("msg") == F.col("m"))).select(
-        "scope", "msg", "parent", "root", "depth", "own_text", "n_passages"
+        "scope", "msg", "parent", "root", "depth", "ordinal", "own_text", "n_passages"
     )
 
 
 def as_mails(conversations: DataFrame) -> DataFrame:
     """Conversations as a mail client would send them: each turn over the two before it, quoted.
 
-    Turns find those before them by number, so a very long conversation is
-    spread like any other rows.  Of repeated turns the largest text counts.
+    The turns before one are those of the next smaller numbers, gaps or not.
+    They are found by numbers alone, and texts join on them, so a very long
+    conversation is spread like any other rows.  Of repeated turns the
+    largest text counts.
     """
-    turns = conversations.groupBy("conv_id", F.col("turn").cast("long").alias("turn")).agg(F.max("text").alias("text"))
+    turns = conversations.where("turn is not null").groupBy("conv_id", F.col("turn").cast("long").alias("turn")).agg(F.max("text").alias("text"))
+    numbers = running(turns.select("conv_id", "turn"), ["conv_id"], ["turn"], F.col("turn"), "one", spread=True, current=False)
+    same = lambda column: F.col("conv_id").eqNullSafe(F.col("c")) & (F.col(column) == F.col("t"))
+    two = numbers.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("one").alias("two"))
+    numbers = keep(numbers.join(two, same("one"), "left").select("conv_id", "turn", "one", "two"), "turns")
+    text_of = lambda name: turns.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("text").alias(name))
+    joined = numbers
+    for number, name in (("turn", "text"), ("one", "back1"), ("two", "back2")):
+        joined = joined.join(text_of(name), same(number), "left").drop("c", "t")
     quote = lambda column, mark: F.when(
-        F.col(column).isNotNull(), F.concat(F.lit("\n" + mark), F.regexp_replace(column, "\n", "\n" + mark))
+        F.col(column).isNotNull(), F.concat(F.lit("\n" + mark), F.regexp_replace(stuffed(F.col(column)), "\n", "\n" + mark))
     ).otherwise("")
-    earlier = lambda back: turns.select(
-        "conv_id", (F.col("turn") + back).alias("turn"), F.col("text").alias(f"back{back}")
-    )
-    joined = turns.join(earlier(1), ["conv_id", "turn"], "left").join(earlier(2), ["conv_id", "turn"], "left")
     return joined.select(
         "conv_id",
         "turn",
-        F.concat(F.coalesce("text", F.lit("")), quote("back1", "> "), quote("back2", ">> ")).alias("text"),
+        F.concat(stuffed(F.coalesce("text", F.lit(""))), quote("back1", "> "), quote("back2", ">> ")).alias("text"),
     )

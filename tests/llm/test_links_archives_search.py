@@ -84,6 +84,38 @@ def test_trimmed_quotes_and_missing_parents(spark):
     }
 
 
+def test_equal_turns_gaps_and_marks_follow_the_turn_before(spark):
+    """Rendered as mails and linked again, every turn answers the one before it, as the SQL has it."""
+    odd = ["> quoted by hand\nreal", "On Monday Ann wrote:\nhello", " > stuffed\n  >> twice", "a\r\nb ", "> ", "plain"]
+    turns = [(1, k, "same text") for k in range(6)] + [(2, k, f"t{k}") for k in (0, 2, 3, 9)] + [(None, k, "same text") for k in range(3)]
+    turns += [(3, k, t) for k, t in enumerate(odd)] + [(4, 0, "dup"), (4, 0, "dup"), (4, 1, "dup"), (5, None, "lost")]
+    table = spark.createDataFrame(turns, "conv_id int, turn int, text string")
+    found = {(r.scope, r.msg): r for r in quote_threads.link_quotations(quote_threads.as_mails(table)).collect()}
+    expected = {}
+    for scope in {t[0] for t in turns} - {5}:
+        numbers = sorted({t[1] for t in turns if t[0] == scope})
+        for n, k in enumerate(numbers):
+            expected[scope, k] = (numbers[n - 1] if n else None, numbers[0], n, n)
+    assert {k: (r.parent, r.root, r.depth, r.ordinal) for k, r in found.items()} == expected
+    for scope, k, text in turns:
+        if scope != 5:
+            assert found[scope, k].own_text == text.rstrip(" \t\n")
+
+
+def test_very_long_lines_and_texts(spark):
+    rows = [(1, 0, "> " * 100_000 + "x"), (1, 1, ">" * 100_000), (1, 2, "y" * 3_000_000), (1, 3, "> " + "y" * 3_000_000 + "\nz"), (1, 4, " >" * 50_000)]
+    found = {r.msg: r for r in quote_threads.link_quotations(spark.createDataFrame(rows, "conv_id int, turn int, text string")).collect()}
+    assert found[0].own_text == "" and found[3].parent == 2 and found[3].own_text.strip() == "z"
+    assert quote_threads.as_mails(spark.createDataFrame(rows, "conv_id int, turn int, text string")).count() == 5
+
+
+def test_reply_order_within_a_thread(spark, monkeypatch):
+    monkeypatch.setattr(quote_threads, "STRETCH", 4)
+    mails = [(1, 0, "root")] + [(1, k, f"> root\nanswer {k}") for k in range(1, 20)] + [(1, 30, "other"), (1, 31, "> answer 7\nx"), (1, 32, "> other\ny")]
+    found = {r.msg: (r.root, r.depth, r.ordinal) for r in quote_threads.link_quotations(spark.createDataFrame(mails, "conv_id int, turn int, text string")).collect()}
+    assert found == {0: (0, 0, 0)} | {k: (0, 1, k) for k in range(1, 20)} | {30: (30, 0, 0), 31: (0, 2, 20), 32: (30, 1, 1)}
+
+
 def words(seed, n):
     rng = random.Random(seed)
     return [f"w{rng.randrange(3000)}" for _ in range(n)]
@@ -172,11 +204,13 @@ def test_archive(spark):
     assert arc.archive_pages(pages.limit(0)).count() == 0
 
 
-def brute_top(vectors, queries, k=5):
+def brute_top(rows, asked, k=5):
+    """``rows`` are ``(id, vector)``; every row is a candidate of the others."""
     out = []
-    for q in queries:
-        scored = sorted((-sum(a * b for a, b in zip(vectors[q], v, strict=False)), i) for i, v in vectors.items() if i != q)
-        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
+    for n, (q, mine) in enumerate(rows):
+        if asked(q):
+            scored = sorted((-sum(a * b for a, b in zip(mine, v, strict=False)), i) for m, (i, v) in enumerate(rows) if m != n)
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
 
@@ -185,15 +219,31 @@ def test_top_inner_products(spark, scale, monkeypatch):
     monkeypatch.setattr(inner_topk, "HEAD_ROWS", 40)
     monkeypatch.setattr(inner_topk, "CANDIDATE_BLOCK", 16)
     monkeypatch.setattr(inner_topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(inner_topk, "QUERIES_AT_ONCE", 2)
+    monkeypatch.setattr(inner_topk, "RUN_BLOCKS", 2)
     monkeypatch.setattr(inner_topk, "SLICE", 5)
     rng = np.random.default_rng(1)
     rows = [(k, (rng.normal(size=12) * (1 if scale == "even" else 2.0 ** rng.integers(-4, 4))).astype(float).tolist()) for k in range(150)]
     rows += [(200, rows[3][1]), (201, rows[3][1]), (202, [0.0] * 12), (250, rows[50][1][:7])]
-    odd = [(300, None), (350, [float("nan")] * 12), (302, [None] * 12), (304, [float("inf")] + [0.0] * 11), (None, [1.0] * 12), (3, rows[3][1])]
+    # rows that repeat an id are rows of their own
+    rows += [(3, rows[3][1]), (7, rows[50][1]), (7, rows[51][1]), (50, rows[50][1]), (100, rows[9][1])]
+    odd = [(300, None), (350, [float("nan")] * 12), (302, [None] * 12), (304, [float("inf")] + [0.0] * 11), (None, [1.0] * 12)]
     table = spark.createDataFrame([(*r, 1, 2) for r in rows + odd], "vec_id long, embedding array<double>, rank int, score int")
     found = inner_topk.top_inner_products(table, F.col("vec_id") % 50 == 0).collect()
-    vectors = {i: np.floor(256 * np.array(v)).astype(int).tolist() for i, v in rows}
-    assert sorted(tuple(r) for r in found) == brute_top(vectors, [0, 50, 100, 200, 250])
+    scaled = [(i, np.floor(256 * np.array(v)).astype(int).tolist()) for i, v in rows]
+    assert sorted(tuple(r) for r in found) == brute_top(scaled, lambda i: i % 50 == 0)
+
+
+def test_repeated_candidates_all_count(spark):
+    table = spark.createDataFrame([(0, [1.0]), (1, [3.0]), (1, [2.0]), (1, [2.0]), (2, [1.0])], "vec_id long, embedding array<float>")
+    found = sorted(tuple(r) for r in inner_topk.top_inner_products(table, F.col("vec_id") == 0).collect())
+    assert [(r[1], r[2], r[3] >> 16) for r in found] == [(1, 1, 3), (2, 1, 2), (3, 1, 2), (4, 2, 1)]
+
+
+def test_scores_beyond_64_bits_are_refused(spark):
+    table = spark.createDataFrame([(0, [1e18]), (1, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="64 bits"):
+        inner_topk.top_inner_products(table, F.col("vec_id") == 0)
 
 
 def test_few_vectors(spark):
