@@ -18,10 +18,12 @@ Linking goes in two layers:
   root: a pair whose common bits already differ in more than ``max_diff``
   places is dropped with all that hangs below it.
 
-A node with more than ``NODE_ROWS`` members is dealt again by salt pairs, so
-that any two of its members still meet in some task.  A task gives a spanning
-forest of its links, not all of them: nothing grows with the square of a
-group of copies.
+The members of a node with more than ``NODE_ROWS`` are dealt again in the same
+way by the bits outside its mask, up to ``RESPLITS`` times; what is still
+full then, almost equal fingerprints that agree everywhere, is dealt by salt
+pairs, so that any two of its members still meet in some task.  A task gives
+a spanning forest of its links, not all of them: nothing grows with the
+square of a group of copies.
 """
 
 from __future__ import annotations
@@ -39,13 +41,17 @@ from pyspark.sql import functions as F
 
 from .batches import texts_of
 from .components import connected_components
-from .storage import drop, keep
+from .rowkeys import row_key
+from ..storage import keep, wrapped
 
 SHINGLE_WORDS = 4
 MAX_DIFF = 4
 SEED = 42
 #: Members of an index node that one task compares.
 NODE_ROWS = 4096
+#: Times that the members of a full node are dealt again by further bits, and blocks that must agree then.
+RESPLITS = 2
+RESPLIT_AGREE = 2
 #: Unrelated fingerprints wanted under one node at most.
 NODE_FILL = 128
 #: Rows a task gathers before it compares them, at a node's end.
@@ -103,6 +109,12 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(2 * counts > total, axis=1, bitorder="little").tobytes(), "little")
 
 
+def _hash_keyed_batches(batches):
+    for batch in batches:
+        values = np.array([fingerprint(t) for t in texts_of(batch.column(1))], dtype=np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values), batch.column(2)], ["doc_id", "fp", "key"])
+
+
 def _hash_batches(batches):
     for batch in batches:
         values = np.array([fingerprint(t) for t in texts_of(batch.column(1))], dtype=np.uint64).view(np.int64)
@@ -123,17 +135,36 @@ def gray_rank(column):
     return column
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _chosen_blocks(bits: list[int], agree: int, max_diff: int) -> list[int]:
+    """Masks of ``agree`` of the ``max_diff + agree`` blocks that ``bits`` fall into.
+
+    ``max_diff`` differences among the bits leave one mask at least untouched.
+    """
+    blocks = max_diff + agree
+    edges = [len(bits) * k // blocks for k in range(blocks + 1)]
+    block = [sum(1 << x for x in bits[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    found = [sum(chosen) for chosen in combinations(block, agree)]
+    assert len(found) == comb(blocks, agree)
+    return found
+
+
 def masks(count: int, max_diff: int = MAX_DIFF) -> list[int]:
     """Bit masks of the index's upper nodes for ``count`` fingerprints."""
     agree = 1
     while agree < 4 and count / 2 ** (64 * agree / (max_diff + agree)) > NODE_FILL:
         agree += 1
-    blocks = max_diff + agree
-    edges = [64 * k // blocks for k in range(blocks + 1)]
-    block = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-    found = [sum(chosen) for chosen in combinations(block, agree)]
-    assert len(found) == comb(blocks, agree)
-    return [m - (1 << 64) if m >> 63 else m for m in found]
+    return [_signed(m) for m in _chosen_blocks(list(range(64)), agree, max_diff)]
+
+
+def _further_masks(mask: int, max_diff: int) -> list[int]:
+    """Masks that add to ``mask`` blocks of the bits outside it."""
+    used = mask & (1 << 64) - 1
+    rest = [b for b in range(64) if not used >> b & 1]
+    return [_signed(used | m) for m in _chosen_blocks(rest, RESPLIT_AGREE, max_diff)]
 
 
 def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -220,7 +251,7 @@ def spanning_links(fps: np.ndarray, node: np.ndarray, max_diff: int = MAX_DIFF)
 def _link_batches(max_diff):
     def link(columns):
         keys = np.stack(columns[:4])
-        fps, reps = columns[4].view(np.uint64), columns[5]
+        fps, reps = columns[4].view(np.uint64), columns[4]
         node = np.concatenate([[0], np.cumsum((keys[:, 1:] != keys[:, :-1]).any(axis=0))])
         first = spanning_links(fps, node, max_diff)
         tied = np.flatnonzero(first != np.arange(len(first)))
@@ -229,7 +260,7 @@ def _link_batches(max_diff):
         )
 
     def run(batches):
-        held = [[] for _ in range(6)]
+        held = [[] for _ in range(5)]
         rows = 0
         for batch in batches:
             if not batch.num_rows:
@@ -254,45 +285,58 @@ def _link_batches(max_diff):
     return run
 
 
+def _longs(values: list[int]):
+    return F.array(*[F.lit(v).cast("long") for v in values])
+
+
+def _under(fingerprints_: DataFrame, chosen) -> DataFrame:
+    """``fingerprints_`` once for each mask of the array ``chosen``, with the node's mask and pattern."""
+    return fingerprints_.select("fp", F.explode(chosen).alias("mask")).select(
+        "fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("pattern")
+    )
+
+
+def _full(under: DataFrame) -> DataFrame:
+    """Nodes with more than ``NODE_ROWS`` members: at most one for so many rows."""
+    return keep(under.groupBy("mask", "pattern").count().where(F.col("count") > NODE_ROWS), "full-nodes")
+
+
 def link_fingerprints(distinct: DataFrame, max_diff: int = MAX_DIFF) -> DataFrame:
-    """Links among ``distinct(fp, rep)``: ``(a, b)`` pairs of ``rep``.
+    """Links among ``distinct(fp)``: ``(a, b)`` pairs of fingerprints.
 
     They connect exactly what links of at most ``max_diff`` bits connect.
     """
     chosen = masks(distinct.count(), max_diff)
-    under = distinct.select(
-        "fp",
-        "rep",
-        gray_rank(F.col("fp")).alias("gray"),
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("pattern"))
-                    for k, m in enumerate(chosen)
-                ]
-            )
-        ).alias("node"),
-    ).select("fp", "rep", "gray", "node.mask", "node.pattern")
-    full = keep(
-        under.groupBy("mask", "pattern")
-        .count()
-        .where(F.col("count") > NODE_ROWS)
-        .select("mask", "pattern", F.ceil(F.col("count") / NODE_ROWS).cast("int").alias("salts")),
-        "full-nodes",
-    )
-    salt = F.pmod(F.xxhash64("fp"), F.coalesce("salts", F.lit(1))).cast("long")
+    node = ["mask", "pattern"]
+    open_ = _under(distinct, _longs(chosen))
+    full = _full(open_)
+    settled = []
+    for _ in range(RESPLITS):
+        if not full.head(1):
+            break
+        settled.append(open_.join(full, node, "left_anti"))
+        used = [r[0] for r in full.select("mask").distinct().collect()]  # of the masks chosen, which are few
+        further = F.create_map(
+            *[x for m in used for x in (F.lit(m).cast("long"), _longs(_further_masks(m, max_diff)))]
+        )
+        members = open_.join(full, node, "left_semi").select("fp", F.element_at(further, F.col("mask")).alias("more"))
+        # a fingerprint may come to one node by two ways
+        open_ = keep(_under(members, F.col("more")).distinct(), "resplit")
+        full = _full(open_)
+    count = full.select(*node, F.ceil(F.col("count") / NODE_ROWS).cast("int").alias("salts"))
+    dealt = open_.join(count, node, "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    for part in settled:
+        dealt = dealt.unionByName(part.withColumn("salts", F.lit(1)))
     dealt = (
-        under.join(full, ["mask", "pattern"], "left")
-        .withColumn("salt", salt)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+        dealt.withColumn("salt", F.pmod(F.xxhash64("fp"), "salts").cast("long"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
         .select(
-            F.col("mask").cast("long").alias("mask"),
+            "mask",
             "pattern",
             F.least("salt", F.col("other").cast("long")).alias("s1"),
             F.greatest("salt", F.col("other").cast("long")).alias("s2"),
             "fp",
-            "rep",
-            "gray",
+            gray_rank(F.col("fp")).alias("gray"),
         )
         .repartition("mask", "pattern", "s1", "s2")
         .sortWithinPartitions("mask", "pattern", "s1", "s2", "gray")
@@ -301,6 +345,14 @@ def link_fingerprints(distinct: DataFrame, max_diff: int = MAX_DIFF) -> DataFram
     return dealt.mapInArrow(_link_batches(max_diff), "a long, b long")
 
 
+def fingerprint_classes(distinct: DataFrame, max_diff: int = MAX_DIFF) -> DataFrame:
+    """``(fp, class)`` of every row of ``distinct(fp)``; linked fingerprints share a class."""
+    joined = connected_components(link_fingerprints(distinct.select("fp"), max_diff))
+    return distinct.join(joined, F.col("fp") == F.col("node"), "left").select(
+        "fp", F.coalesce("component", "fp").alias("class")
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -310,22 +362,53 @@ def near_duplicates(
     """``(doc_id, fingerprint, component_id)``, one row for each input row.
 
     Null, empty and blank texts have fingerprint zero and link like any other;
-    rows that repeat an id are returned as often as they occur; other columns
-    are not read.  A row whose id is null keeps its fingerprint, links to
-    nothing and has a null component.  An empty table gives an empty one.
+    very long texts are hashed in pieces; rows that repeat an id are returned
+    as often as they occur; other columns, whatever their names, are not
+    read.  A row whose id is null links like any other, but gives its
+    component no name: a component of such rows alone has a null id.  An
+    empty table gives an empty one.
     """
     hashed = keep(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = keep(
-        hashed.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")),
-        "distinct-fingerprints",
-    )
-    joined = connected_components(link_fingerprints(distinct, max_diff))
-    class_of = distinct.join(joined, F.col("rep") == F.col("node"), "left").select(
-        F.col("fp").alias("fp_"), F.coalesce("component", "rep").alias("component_id")
+    distinct = keep(hashed.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
+    classes = keep(distinct.join(fingerprint_classes(distinct, max_diff), "fp"), "fingerprint-classes")
+    lowest = classes.groupBy("class").agg(F.min("rep").alias("component_id"))
+    named = classes.join(lowest, "class").select(F.col("fp").alias("fp_"), "component_id")
+    return hashed.join(named, F.col("fp") == F.col("fp_")).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-    return hashed.join(
-        class_of, (F.col("fp") == F.col("fp_")) & F.col("doc_id").isNotNull(), "left"
-    ).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-__all__ = ["drop", "fingerprint", "fingerprints", "link_fingerprints", "near_duplicates"]
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_diff: int = MAX_DIFF) -> DataFrame:
+    """One row of each near-duplicate component, with all its columns.
+
+    It is the row with the smallest id, nulls last, and of rows that share
+    that id the one with the smallest hash over all columns; of rows that are
+    equal in every column one stays.  Null and empty texts are copies of one
+    another.  Only keys of rows that go are joined to the texts.  An empty
+    table gives an empty one.
+    """
+    keyed = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_key(docs).alias("key")
+    )
+    hashed = keep(keyed.mapInArrow(_hash_keyed_batches, "doc_id long, fp long, key long"), "fingerprints")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    distinct = keep(hashed.groupBy("fp").agg(F.min(place).alias("first")), "distinct-fingerprints")
+    classes = distinct.join(fingerprint_classes(distinct, max_diff), "fp")
+    survivors = keep(classes.groupBy("class").agg(F.min("first").alias("stays")).select("stays.doc_id", "stays.key"), "survivors")
+    rows = hashed.groupBy("doc_id", "key").count()
+    same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k"))
+    marked = rows.join(survivors.select(F.col("doc_id").alias("i"), F.col("key").alias("k")), same, "left").select(
+        F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"), F.col("k").isNotNull().alias("stays"), "count"
+    )
+    marks = keep(marked.where("not stays or count > 1"), "duplicates")
+    whole = wrapped(docs).select("row", row_key(docs, "row.").alias("key"))
+    found = F.col(f"row.`{id_col}`").cast("long").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key"))
+    alone = whole.join(marks, found, "left_anti")
+    if not marks.where("stays").head(1):
+        return alone.select("row.*")
+    # equal rows meet where they are read, one of them goes on
+    repeated = whole.join(marks.where("stays"), found, "left_semi").groupBy("key", F.col(f"row.`{id_col}`")).agg(F.first("row").alias("row"))
+    return alone.select("row").unionByName(repeated.select("row")).select("row.*")
+
+
+__all__ = ["fingerprint", "fingerprints", "link_fingerprints", "near_duplicates", "one_of_each"]
