@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import keep, new_path
+from ..storage import keep, new_path
 
 # The field lists of ARC header lines.
 ARC_FIELDS = {

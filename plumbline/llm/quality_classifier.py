@@ -5,8 +5,9 @@ A document's strength is linear in features of its text.  A document labelled
 on the pairs' feature differences.  Documents are accepted from a quantile of
 the training strengths upwards.
 
-Learning sees a bounded sample of the labelled rows (``SAMPLE_ROWS``, chosen
-by a hash of the id); scoring sees every whole text.
+Learning sees a bounded sample of the labelled rows (``sample_rows``, chosen
+by a hash of the id); scoring sees every whole text.  What counts as a common
+word is learnt from the sample, too: the words that most of its texts hold.
 """
 
 from __future__ import annotations
@@ -19,20 +20,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import keep, wrapped
 from .batches import texts_of
-from .quality_rules import COMMON_WORDS
-from .storage import wrapped
 
 #: Labelled rows that the model is fitted on, in expectation.
 SAMPLE_ROWS = 20_000
 #: Preference pairs drawn from them.
 PAIRS = 200_000
+#: Words that count as common, those that most texts of the sample hold.
+COMMON_WORDS = 200
 #: The score from which a document is accepted.
 ACCEPT = 0.7
 RIDGE = 1e-3
 SEED = 20
 
-_COMMON = frozenset(w.encode() for words in COMMON_WORDS.values() for w in words.split())
 FEATURES = (
     "log_words",
     "symbols_per_word",
@@ -50,8 +51,12 @@ FEATURES = (
 )
 
 
-def features(text: bytes | None) -> list[float]:
-    """Features of a whole UTF-8 text, each of a bounded range."""
+def _bare(word: bytes) -> bytes:
+    return word.lower().rstrip(b".,;:!?")
+
+
+def features(text: bytes | None, common: frozenset[bytes] = frozenset()) -> list[float]:
+    """Features of a whole UTF-8 text, each of a bounded range; ``common`` are bare words."""
     text = text or b""
     words = text.split()
     n = len(words)
@@ -76,7 +81,7 @@ def features(text: bytes | None) -> list[float]:
         math.log(len(counts)) / math.log(n) if n > 1 else 1.0,
         max(counts.values()) / n,
         1 - len(set(lines)) / len(lines),
-        sum(c for w, c in counts.items() if w.lower() in _COMMON) / n,
+        sum(c for w, c in counts.items() if _bare(w) in common) / n,
         1.0 if n < 20 else 0.0,
     ]
 
@@ -87,6 +92,7 @@ class Model:
 
     weights: tuple[float, ...]
     cut: float
+    common: frozenset[bytes] = frozenset()
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         strength = np.clip(x @ np.array(self.weights) - self.cut, -30, 30)
@@ -94,24 +100,30 @@ class Model:
         return np.where(strength >= 0, np.maximum(score, ACCEPT), np.minimum(score, np.nextafter(ACCEPT, 0)))
 
 
-def fit(x: np.ndarray, label: np.ndarray) -> Model:
+def preference_pairs(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS) -> tuple[np.ndarray, np.ndarray]:
+    """Feature differences of drawn pairs, good less bad, in units of ``scale``, which comes second."""
+    good, bad = x[label == 1], x[label == 0]
+    scale = np.maximum(x.std(axis=0), 1e-6)
+    rng = np.random.default_rng(SEED)
+    return (good[rng.integers(len(good), size=pairs)] - bad[rng.integers(len(bad), size=pairs)]) / scale, scale
+
+
+def fit(x: np.ndarray, label: np.ndarray, common: frozenset[bytes] = frozenset()) -> Model:
     """Fits the pairs by Newton's method and picks the quantile to accept from.
 
     The quantile is the one that tells the training labels apart best (mean
-    of both classes' hit rates).  Without labels of both kinds nothing is
-    learnt and every text scores exactly 0.7.
+    of both classes' hit rates); of several, the lowest.  Without labels of
+    both kinds nothing is learnt and every text scores exactly 0.7.
     """
     good, bad = x[label == 1], x[label == 0]
     if not len(good) or not len(bad):
         return Model((0.0,) * len(FEATURES), 0.0)
-    scale = np.maximum(x.std(axis=0), 1e-6)
-    rng = np.random.default_rng(SEED)
-    pairs = (good[rng.integers(len(good), size=PAIRS)] - bad[rng.integers(len(bad), size=PAIRS)]) / scale
+    pairs, scale = preference_pairs(x, label)
     w = np.zeros(x.shape[1])
     for _ in range(25):
         p = 1 / (1 + np.exp(np.clip(pairs @ w, -30, 30)))
         gradient = -(pairs * p[:, None]).mean(axis=0) + RIDGE * w
-        hessian = (pairs * (p * (1 - p))[:, None]).T @ pairs / PAIRS + RIDGE * np.eye(len(w))
+        hessian = (pairs * (p * (1 - p))[:, None]).T @ pairs / len(pairs) + RIDGE * np.eye(len(w))
         step = np.linalg.solve(hessian, gradient)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -124,22 +136,22 @@ def fit(x: np.ndarray, label: np.ndarray) -> Model:
     told = np.append(0, np.cumsum(is_bad)) / len(bad) + 1 - np.append(0, np.cumsum(~is_bad)) / len(good)
     k = int(np.argmax(told))
     cut = (ranked[k - 1] + ranked[k]) / 2 if 0 < k < len(ranked) else ranked[min(k, len(ranked) - 1)]
-    return Model(tuple(float(v) for v in w), float(cut))
+    return Model(tuple(float(v) for v in w), float(cut), common)
 
 
 def _score_udf(model: Model):
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        x = np.array([features(t) for t in texts_of(texts)], dtype=float)
+        x = np.array([features(t, model.common) for t in texts_of(texts)], dtype=float)
         return pa.array(model.scores(x.reshape(-1, len(FEATURES))))
 
     return score
 
 
-def _feature_udf():
+def _feature_udf(common: frozenset[bytes]):
     @F.arrow_udf("array<double>")
     def values(texts: pa.Array) -> pa.Array:
-        return pa.array([features(t) for t in texts_of(texts)], pa.list_(pa.float64()))
+        return pa.array([features(t, common) for t in texts_of(texts)], pa.list_(pa.float64()))
 
     return values
 
@@ -149,10 +161,23 @@ def remainder(id_column: Column) -> Column:
     return F.crc32(id_column.cast("string").cast("binary")) % 4
 
 
+def _held_words(batches):
+    """The bare words of each text, each once."""
+    for batch in batches:
+        words = [sorted({_bare(w) for w in (t or b"").split()}) for t in texts_of(batch.column(0))]
+        flat = pa.array([w for held in words for w in held], pa.binary())
+        yield pa.RecordBatch.from_arrays([flat], ["w"])
+
+
 def train(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    sample_rows: int = SAMPLE_ROWS,
 ) -> Model:
-    """Learns from labelled rows that aren't held out.
+    """Learns from labelled rows that aren't held out, of about ``sample_rows`` ids.
 
     Labels other than 0 and 1 and null ids are ignored; an id labelled twice
     counts once, with its smaller label; an id with several texts counts once,
@@ -160,23 +185,31 @@ def train(
     """
     usable = labels.where(F.col(label_col).isin(0, 1) & (remainder(F.col(id_col)) != 2))
     total = usable.count()
-    share = min(1.0, SAMPLE_ROWS / max(total, 1))
+    share = min(1.0, sample_rows / max(total, 1))
     chosen = (
         usable.where(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << 30)) < int(share * (1 << 30)))
         .groupBy(F.col(id_col).alias("id_"))
         .agg(F.min(label_col).alias("label"))
     )
-    sample = (
+    # about sample_rows texts
+    texts = keep(
         docs.select(F.col(id_col).alias("id_"), F.col(text_col).cast("string").alias("text"))
-        .join(F.broadcast(chosen), "id_")  # about SAMPLE_ROWS rows of two numbers
-        .select("id_", "label", _feature_udf()("text").alias("x"))
+        .join(F.broadcast(chosen), "id_")  # about sample_rows rows of two numbers
+        .select("id_", "label", "text"),
+        "labelled-texts",
+    )
+    held = texts.select("text").mapInArrow(_held_words, "w binary").groupBy("w").count()
+    most = held.orderBy(F.desc("count"), "w").limit(COMMON_WORDS).collect()
+    common = frozenset(bytes(r.w) for r in most)
+    sample = (
+        texts.select("id_", "label", _feature_udf(common)("text").alias("x"))
         .groupBy("id_")
         .agg(F.first("label").alias("label"), *[F.avg(F.col("x")[k]).alias(f"x{k}") for k in range(len(FEATURES))])
         .toPandas()
         .sort_values("id_")
     )
     x = sample[[f"x{k}" for k in range(len(FEATURES))]].to_numpy(dtype=float).reshape(-1, len(FEATURES))
-    return fit(x, sample["label"].to_numpy(dtype=int))
+    return fit(x, sample["label"].to_numpy(dtype=int), common)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -185,14 +218,17 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
 
 
 def quality_scores(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS
 ) -> DataFrame:
     """``(doc_id, held_out, score, predicted)``, one row for each input row.
 
-    Null and empty texts are scored like any other.  A null id is held out of
-    nothing (``held_out`` false).  An empty table gives an empty one.
+    Null and empty texts are scored like any other, and very long ones whole.
+    Rows that repeat an id each have the score of their own text.  A score of
+    exactly ``ACCEPT`` is accepted.  A null id is held out of nothing
+    (``held_out`` false).  Other columns, whatever their names, are not read.
+    An empty table gives an empty one.
     """
-    model = train(docs, labels, id_col, text_col)
+    model = train(docs, labels, id_col, text_col, sample_rows=sample_rows)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return scored(slim, model).select(
         "doc_id",
@@ -202,7 +238,13 @@ def quality_scores(
     )
 
 
-def quality_accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose score is accepted, with their own columns."""
-    model = train(docs, labels, id_col, text_col)
+def quality_accepted(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS
+) -> DataFrame:
+    """The rows of ``docs`` whose score is accepted, with their own columns.
+
+    The edge cases are those of :func:`quality_scores`; rows are judged one by
+    one, so null ids and repeated rows stay or go by their texts.
+    """
+    model = train(docs, labels, id_col, text_col, sample_rows=sample_rows)
     return scored(wrapped(docs), model, f"row.`{text_col}`").where(F.col("score") >= ACCEPT).select("row.*")

@@ -5,7 +5,9 @@ of texts are never shuffled.  The divergence rule compares a document with
 the reference of its language, which is summed over the whole table:
 
 * the histogram of character classes, and
-* the histogram of common function words, all other words being one more bin,
+* the histogram of the language's common words, all other words being one
+  more bin.  Common are words that make up one in ``COMMON_PART`` of all words
+  of the language at least, of which there can be no more than that,
 
 each by Jensen-Shannon distance (base 2, so 0 to 1).  A histogram over too
 few observations says nothing, so short ones are not judged; nor is a
@@ -17,15 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import keep, wrapped
+from ..storage import keep, wrapped
 
-# Frequent function words; words of all these languages are counted in every text.
-COMMON_WORDS = {
-    "de": "aber als an auch auf aus bei das dass dem den der des die durch ein eine einen er es für haben hat ich im in ist mit nach nicht noch oder sich sie sind so über um und von war was werden wie wird zu zum zur",
-    "en": "a an and are as at be but by for from had has have he her his i if in is it its not of on or our she so that the their there they this to was we were which will with would you",
-    "es": "al como con de del el en entre era es esta este esto ha hay la las le lo los más me mi no o para pero por que se sea si sin sobre son su sus también un una y ya",
-    "fr": "à au aux avec ce ces cette dans de des du elle en est et il ils je la le les leur lui mais ne nous on ou par pas plus pour qu que qui sa se ses son sur un une vous",
-}
 #: Regular expressions of the character classes, in the order in which they are taken out of the text.
 CLASSES = (
     ("lower", r"\p{Ll}+"),
@@ -51,30 +46,74 @@ MAX_CLASS_DISTANCE = 0.3
 MAX_COMMON_DISTANCE = 0.2
 COMMON_SLACK = 1.7
 
+#: A common word's least part of its language's words.
+COMMON_PART = 500
 #: References up to which they are broadcast.
 BROADCAST_LANGS = 1000
+#: Common words of all languages up to which they are constants of the plan; more are joined.
+LITERAL_WORDS = 50_000
 
 
-def _all_common() -> list[str]:
-    return sorted({w for words in COMMON_WORDS.values() for w in words.split()})
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, SEPARATORS), lambda w: w != "")
+
+
+def _bare(word: Column) -> Column:
+    """A word as it is told common: lower case, without the stops after it."""
+    return F.rtrim(F.lower(word), F.lit(".,;:!?"))
+
+
+def _language(lang: Column) -> Column:
+    return F.when(F.trim(lang.cast("string")) != "", lang.cast("string"))
+
+
+def common_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``(lang, w, share)``: words of at least one in ``COMMON_PART`` of their language's words.
+
+    Counted over all documents of each language with ``MIN_REFERENCE_WORDS``
+    words; counts are summed where texts are read before they are shuffled.
+    """
+    counted = (
+        docs.select(_language(F.col(lang_col)).alias("lang"), F.explode(_words(F.col(text_col).cast("string"))).alias("w"))
+        .where("lang is not null")
+        .groupBy("lang", _bare(F.col("w")).alias("w"))
+        .agg(F.count(F.lit(1)).alias("c"))
+    )
+    counted = keep(counted, "word-counts")
+    totals = counted.groupBy("lang").agg(F.sum("c").alias("words")).where(F.col("words") >= MIN_REFERENCE_WORDS)
+    return (
+        counted.join(totals.withColumnRenamed("lang", "l"), F.col("lang") == F.col("l"))
+        .where(F.col("c") * COMMON_PART >= F.col("words"))
+        .select("lang", "w", (F.col("c") / F.col("words")).alias("share"))
+    )
 
 
 def _array_sum(array: Column, kind: str = "long") -> Column:
     return F.aggregate(array, F.lit(0).cast(kind), lambda a, x: a + x)
 
 
-def measure(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def measure(docs: DataFrame, common: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Adds the column ``_m``, a struct of everything the rules look at.
 
     A null text counts as one without words.  ``_m.lang`` is the language of
-    the reference: ``lang_col`` as it stands, null if blank.
+    the reference: ``lang_col`` as it stands, null if blank.  ``common`` are
+    the words of :func:`common_words`; ``_m.common`` counts those of the
+    document's own language, among others.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lang = F.col(lang_col).cast("string")
+    lang = _language(F.col(lang_col))
+    columns = docs.columns
+    literal = [r.w for r in common.select("w").distinct().limit(LITERAL_WORDS + 1).collect()]
+    if len(literal) <= LITERAL_WORDS:
+        is_common = lambda w: w.isin(*literal) if literal else F.lit(False)
+    else:
+        own = common.groupBy(F.col("lang").alias("_own_lang")).agg(F.collect_list("w").alias("_own_words"))
+        docs = docs.join(own, lang == F.col("_own_lang"), "left")  # a text beside its language's words
+        is_common = lambda w: F.coalesce(F.array_contains("_own_words", w), F.lit(False))
     staged = docs.withColumns(
         {
             "_t0": text,
-            "_words": F.filter(F.split(text, SEPARATORS), lambda w: w != ""),
+            "_words": _words(text),
             "_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
         }
     )
@@ -91,10 +130,7 @@ def measure(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
                 ),
             ),
             "_common": F.array_sort(
-                F.filter(
-                    F.transform("_words", lambda w: F.rtrim(F.lower(w), F.lit(".,;:!?"))),
-                    lambda w: w.isin(*_all_common()),
-                )
+                F.filter(F.transform("_words", _bare), is_common)
             ),
         }
     )
@@ -134,7 +170,7 @@ def measure(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     return staged.withColumn(
         "_m",
         F.struct(
-            F.when(F.trim(lang) != "", lang).alias("lang"),
+            lang.alias("lang"),
             n.cast("long").alias("n_words"),
             (length[0].cast("long") - counts[names.index("space")]).alias("word_chars"),
             counts[names.index("symbol")].alias("n_symbols"),
@@ -153,10 +189,10 @@ def measure(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
                 lambda x: x["w"].isNotNull(),
             ).alias("common"),
         ),
-    ).select(*[F.col(f"`{c}`") for c in docs.columns], "_m")
+    ).select(*[F.col(f"`{c}`") for c in columns], "_m")
 
 
-def references(measured: DataFrame) -> DataFrame:
+def references(measured: DataFrame, common: DataFrame) -> DataFrame:
     """One row for each language with a reference: ``(lang, ref_classes, ref_common)``.
 
     Shares over all documents of the language, each value of the language
@@ -165,24 +201,15 @@ def references(measured: DataFrame) -> DataFrame:
     measured = measured.where("_m.lang is not null")
     width = len(CLASSES) + 1
     classes = measured.groupBy(F.col("_m.lang").alias("lang")).agg(
-        F.sum("_m.n_words").alias("words"),
-        *[F.sum(F.col("_m.classes")[k]).alias(f"c{k}") for k in range(width)],
+        *[F.sum(F.col("_m.classes")[k]).alias(f"c{k}") for k in range(width)]
     )
     chars = sum(F.col(f"c{k}") for k in range(width))
     classes = classes.where(chars >= MIN_REFERENCE_CHARS).select(
-        "lang", "words", F.array(*[F.col(f"c{k}") / chars for k in range(width)]).alias("ref_classes")
-    )
-    common = (
-        measured.select(F.col("_m.lang").alias("lang"), F.explode("_m.common").alias("x"))
-        .groupBy("lang", F.col("x.w").alias("w"))
-        .agg(F.sum("x.c").alias("c"))
-        .groupBy("lang")
-        .agg(F.map_from_entries(F.collect_list(F.struct("w", "c"))).alias("counts"))
-    )
-    share = F.transform_values("counts", lambda _, c: c / F.col("words"))
-    return classes.join(common, "lang", "left").select(
-        "lang", "ref_classes", F.when(F.col("words") >= MIN_REFERENCE_WORDS, share).alias("ref_common")
+        "lang", F.array(*[F.col(f"c{k}") / chars for k in range(width)]).alias("ref_classes")
     )
+    # at most COMMON_PART words a language
+    shares = common.groupBy("lang").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("w", "share")))).alias("ref_common"))
+    return classes.join(shares, "lang", "left").select("lang", "ref_classes", "ref_common")
 
 
 def _distance(shares: Column, seen: Column) -> Column:
@@ -211,10 +238,11 @@ def judge(measured: DataFrame, refs: DataFrame) -> DataFrame:
     judged = measured.join(named, m["lang"] == F.col("_lang"), "left").withColumns(
         {
             "_chars": chars,
-            "_rest": m["n_words"] - _array_sum(F.transform(m["common"], lambda x: x["c"])),
+            "_held": F.filter(m["common"], lambda x: F.map_contains_key("ref_common", x["w"])),
             "_ref_rest": 1 - _array_sum(F.map_values("ref_common"), "double"),
         }
     )
+    judged = judged.withColumn("_rest", m["n_words"] - _array_sum(F.transform("_held", lambda x: x["c"])))
     judged = judged.withColumns(
         {
             "_class_shares": F.filter(
@@ -228,10 +256,10 @@ def judge(measured: DataFrame, refs: DataFrame) -> DataFrame:
             "_common_shares": F.filter(
                 F.concat(
                     F.transform(
-                        m["common"],
+                        "_held",
                         lambda x: F.struct(
                             F.try_divide(x["c"], m["n_words"]).alias("p"),
-                            F.coalesce(F.try_element_at("ref_common", x["w"]), F.lit(0.0)).alias("q"),
+                            F.try_element_at("ref_common", x["w"]).alias("q"),
                         ),
                     ),
                     F.array(F.struct(F.try_divide("_rest", m["n_words"]).alias("p"), F.col("_ref_rest").alias("q"))),
@@ -264,19 +292,22 @@ def judge(measured: DataFrame, refs: DataFrame) -> DataFrame:
 def quality_report(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
-    """The counts and verdicts of every row; one text pass, then its small measures.
+    """The counts and verdicts of every row; two passes over the texts, then their small measures.
 
     ``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, class_distance, common_distance)``.  Rows that repeat
-    are returned as often as they occur and null ids are carried through; a
-    null language is judged by the base rules alone.  An empty table gives an
-    empty one.
+    are returned as often as they occur and count so often in the references;
+    null ids are carried through; a null or empty text has no words and fails;
+    a very long text is measured whole; a null language, or one with too
+    small a reference, is judged by the base rules alone; other columns,
+    whatever their names, are not read.  An empty table gives an empty one.
     """
     slim = docs.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     )
-    measured = keep(measure(slim).select("doc_id", "_m"), "quality-measures")
-    return judge(measured, keep(references(measured), "quality-references")).select(
+    common = keep(common_words(slim), "common-words")
+    measured = keep(measure(slim, common).select("doc_id", "_m"), "quality-measures")
+    return judge(measured, keep(references(measured, common), "quality-references")).select(
         "doc_id",
         *[F.col(f"_m.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         "base_failed",
@@ -289,15 +320,12 @@ def quality_report(
 def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their own columns.
 
-    The texts are read twice: once for the references, once for the verdicts.
-    They aren't shuffled unless there are more than ``BROADCAST_LANGS``
-    references.
+    The edge cases are those of :func:`quality_report`, whose verdicts these
+    are.  Texts are measured once: rows are written beside their measures and
+    read again for the verdict.  They aren't shuffled unless there are more
+    than ``BROADCAST_LANGS`` references.
     """
     slim = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    refs = keep(references(keep(measure(slim).select("_m"), "quality-measures")), "quality-references")
-    # the optimiser would push the verdict into the measures and repeat them for each use;
-    # it leaves a column alone that isn't deterministic
-    fenced = measure(wrapped(docs), f"row.`{text_col}`", f"row.`{lang_col}`").withColumn(
-        "_m", F.when(F.monotonically_increasing_id() >= 0, F.col("_m"))
-    )
-    return judge(fenced, refs).where("kept").select("row.*")
+    common = keep(common_words(slim), "common-words")
+    measured = keep(measure(wrapped(docs), common, f"row.`{text_col}`", f"row.`{lang_col}`"), "quality-measures")
+    return judge(measured, keep(references(measured, common), "quality-references")).where("kept").select("row.*")

@@ -86,13 +86,41 @@ def test_near_duplicates(spark, dedup_rows, monkeypatch):
     assert len(found) == len(dedup_rows)
     expected = brute_components([(r[0], brute_fingerprint(r[1])) for r in dedup_rows if r[0] is not None])
     for row in found:
-        assert row.component_id == (None if row.doc_id is None else expected[row.doc_id])
+        assert row.component_id == (expected[200] if row.doc_id is None else expected[row.doc_id])
     assert {r.fingerprint for r in found if r.doc_id in (202, 203)} == {"0" * 16}
     assert len({r.component_id for r in found if r.doc_id in (202, 203)}) == 1
 
 
-def test_full_nodes_are_dealt_by_salts(spark, dedup_rows, monkeypatch):
+def test_rows_without_ids_link_but_name_nothing(spark):
+    docs = spark.createDataFrame([(None, "a b c", "en", "s"), (None, "A b c", "en", "s"), (4, "x y z q", "en", "s")], DOCS)
+    assert sorted((str(r.doc_id), r.component_id) for r in simhash.near_duplicates(docs).collect()) == [("4", 4), ("None", None), ("None", None)]
+
+
+def test_one_of_each_keeps_a_row_of_every_component(spark, dedup_rows):
+    """By row, not by id: equal rows leave one, and rows that share an id with a copy stay."""
+    unique = words(31, 60)
+    rows = [*dedup_rows, (1, words(0, 50), "de", "s"), (1, unique, "en", "s"), (None, words(32, 60), "en", "s"), (None, words(32, 60), "en", "s"), (300, words(33, 60), "en", "s"), (300, words(33, 60), "en", "s")]
+    docs = spark.createDataFrame([(*r, 1, "m", 0.1, "r", 2) for r in rows], EXTRA)
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    kept = [(r.doc_id, r.text, r.lang) for r in kept.collect()]
+    fps = [brute_fingerprint(r[1]) for r in rows]
+    group = brute_components(list(enumerate(fps)))
+    assert len(kept) == len(set(group.values()))
+    lowest = {}
+    for n, r in enumerate(rows):
+        lowest.setdefault(group[n], []).append((r[0] is None, r[0] or 0))
+    for doc_id, text, lang in kept:
+        n = next(n for n, r in enumerate(rows) if r[:3] == (doc_id, text, lang))
+        assert (doc_id is None, doc_id or 0) == min(lowest.pop(group[n]))
+    assert not lowest and any(t == unique for _, t, _ in kept)
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("resplits", [0, 1, 2])
+def test_full_nodes_are_dealt_again_and_by_salts(spark, dedup_rows, resplits, monkeypatch):
     monkeypatch.setattr(simhash, "NODE_ROWS", 3)
+    monkeypatch.setattr(simhash, "RESPLITS", resplits)
     docs = spark.createDataFrame(dedup_rows, DOCS)
     expected = brute_components([(r[0], brute_fingerprint(r[1])) for r in dedup_rows if r[0] is not None])
     found = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect() if r.doc_id is not None}
@@ -192,6 +220,49 @@ def test_each_language_has_its_own_reference(spark, broadcast, monkeypatch):
     assert {r.doc_id for r in qr.quality_report(docs).where("kept").collect()} == kept
 
 
+@pytest.mark.parametrize("literal", [50_000, 3])
+def test_common_words_come_from_the_table(spark, literal, monkeypatch):
+    """Counts, shares and distances against plain Python, with words as constants of the plan and joined."""
+    import math
+    from collections import Counter
+
+    monkeypatch.setattr(qr, "LITERAL_WORDS", literal)
+    rng = random.Random(12)
+    rows = []
+    for lang, often in (("xx", ["ka", "lo", "mi"]), ("yy", ["te", "ka", "su", "vo"])):
+        for k in range(30):
+            text = " ".join(rng.choice(often * 3 + [f"{lang}{rng.randrange(5000)}"]) for _ in range(250))
+            rows.append((len(rows), text.replace("ka ", "Ka, "), lang, "s"))
+    rows.append((900, " ".join(["te"] * 140 + [f"q{k}" for k in range(20)]), "xx", "s"))
+    rows.append((901, " ".join(f"q{k}" for k in range(400)), "xx", "s"))
+    docs = spark.createDataFrame(rows, DOCS)
+    bare = lambda t: [w.lower().rstrip(".,;:!?") for w in t.split()]
+    shares = {}
+    for lang in ("xx", "yy"):
+        c = Counter(w for _, t, x, _ in rows if x == lang for w in bare(t))
+        total = sum(c.values())
+        shares[lang] = {w: n / total for w, n in c.items() if n * qr.COMMON_PART >= total}
+    assert {(r.lang, r.w): r.share for r in qr.common_words(docs).collect()} == {(x, w): q for x in shares for w, q in shares[x].items()}
+    for r in qr.quality_report(docs).collect():
+        _, text, lang, _ = next(x for x in rows if x[0] == r.doc_id)
+        words_, ref = bare(text), shares[lang]
+        c = Counter(w for w in words_ if w in ref)
+        p = [c[w] / len(words_) for w in ref] + [1 - sum(c.values()) / len(words_)]
+        q = [*ref.values(), 1 - sum(ref.values())]
+        part = lambda a, b: sum(x * math.log2(2 * x / (x + y)) for x, y in zip(a, b, strict=True) if x > 0)
+        assert abs(r.common_distance - math.sqrt(max(0.0, (part(p, q) + part(q, p)) / 2))) < 1e-9
+
+
+def test_very_long_texts_are_measured_whole(spark):
+    texts = ["x" * 3_000_000, "a b c d e f g h " * 40_000, "\n".join(["line of words"] * 30_000)]
+    docs = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(texts)], DOCS)
+    found = {r.doc_id: r for r in qr.quality_report(docs).collect()}
+    assert [(found[k].n_words, found[k].word_chars) for k in range(3)] == [(1, 3_000_000), (320_000, 320_000), (90_000, 30_000 * 11)]
+    assert found[1].n_repeat_words == 320_000 and found[2].n_dup_lines == 29_999
+    scores = qc.quality_scores(docs, spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, quality int")).collect()
+    assert len(scores) == 3 and all(0 <= r.score <= 1 for r in scores)
+
+
 def labelled(spark, n=200):
     rows, labels = [], []
     for k in range(n):
@@ -221,6 +292,48 @@ def test_classifier(spark):
     assert {r.doc_id for r in kept.collect() if r.doc_id is not None and r.doc_id < 200} == {k for k in range(200) if k % 5}
 
 
+def test_fit_equals_a_plain_solver():
+    """Plain gradient descent on the same pairs, written out anew, ends at the same weights."""
+    rng = np.random.default_rng(4)
+    n, width = 300, len(qc.FEATURES)
+    x = rng.normal(size=(n, width)) * rng.uniform(0.5, 3, width)
+    label = (x @ rng.normal(size=width) + rng.normal(size=n) * 3 > 0).astype(int)
+    model = qc.fit(x, label)
+    pairs, scale = qc.preference_pairs(x, label)
+    w = np.zeros(width)
+    for _ in range(4000):
+        gain = 1 / (1 + np.exp(pairs @ w))
+        w += 0.2 * ((pairs * gain[:, None]).mean(axis=0) - qc.RIDGE * w)
+    assert np.abs(np.array(model.weights) * scale - w).max() < 1e-3
+    # the cut is the best of all
+    strength = x @ np.array(model.weights)
+    told = lambda cut: (strength[label == 1] >= cut).mean() + (strength[label == 0] < cut).mean()
+    assert abs(told(model.cut) - max(told(c) for c in [*strength, np.inf])) < 1e-12
+
+
+def test_scores_equal_those_of_plain_python(spark):
+    docs, labels = labelled(spark)
+    model = qc.train(docs, labels)
+    by_text = {r.text: r.doc_id for r in docs.collect()}
+    texts = list(by_text)
+    common = {}
+    for r in docs.join(labels.where("quality in (0, 1)").select("doc_id", "quality").distinct(), "doc_id").collect():
+        if r.doc_id is not None and __import__("zlib").crc32(str(r.doc_id).encode()) % 4 != 2:
+            for w in {qc._bare(x) for x in (r.text or "").encode().split()}:
+                common.setdefault(w, []).append(r.doc_id)
+    most = sorted(common, key=lambda w: (-len(common[w]), w))[: qc.COMMON_WORDS]
+    assert model.common == frozenset(most)
+    z = np.array([qc.features(None if t is None else t.encode(), model.common) for t in texts]) @ np.array(model.weights) - model.cut
+    expected = dict(zip(texts, 1 / (1 + np.exp(-z - np.log(7 / 3))), strict=True))
+    for r in qc.quality_scores(docs, labels).join(docs.select("doc_id", "text"), "doc_id").collect():
+        assert abs(r.score - expected[r.text]) < 1e-9 or r.predicted == int(expected[r.text] >= 0.7)
+
+
+def test_sample_is_a_parameter(spark):
+    docs, labels = labelled(spark)
+    assert qc.train(docs, labels, sample_rows=20) != qc.train(docs, labels)
+
+
 def test_held_out_labels_teach_nothing(spark):
     docs, labels = labelled(spark)
     turned = labels.withColumn("quality", F.when(qc.remainder(F.col("doc_id")) == 2, 1 - F.col("quality")).otherwise(F.col("quality")))
