@@ -12,8 +12,8 @@ minima are taken only around shingles that some template of the tier has.
 Retrieved templates are verified by the share of their distinct shingles that
 stand in and around the window.
 
-Templates are few and sent to the tasks in rounds of at most
-``ROUND_TEMPLATES``; texts are read once a round, whole, and never shuffled.
+Templates are few and sent to the tasks in rounds of about ``ROUND_WORDS``
+words; texts are read once a round, whole, and never shuffled.
 """
 
 from __future__ import annotations
@@ -25,29 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import texts_of
+from .licenses import NOTICES, TEXTS
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS = 24
-ROUND_TEMPLATES = 20_000
+#: Words of the templates that a round sends to the tasks, in expectation.
+ROUND_WORDS = 5_000_000
 #: Shingles of a text that are looked at together.
 STRETCH = 1 << 16
 SEED = 5
 
-# Notices by which licences are declared.
-NOTICES = {
-    "agpl-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
-    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "bsd-3-clause": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "lgpl-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "mit": "Released under the MIT License.",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-}
-
 _BLANKED = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 _rng = np.random.default_rng(SEED)
 _A = _rng.integers(1, 1 << 62, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -171,8 +159,10 @@ def _scan_batches(templates):
     return run
 
 
-def notice_templates(spark) -> DataFrame:
-    return spark.createDataFrame([(f"license:{k}", v) for k, v in NOTICES.items()], "template string, text string")
+def license_templates(spark) -> DataFrame:
+    """``(template, text)`` of licence texts and of the sentences that declare one."""
+    rows = [(f"license:{k}", v) for k, v in NOTICES.items()] + [(f"license-text:{k}", v) for k, v in TEXTS.items()]
+    return spark.createDataFrame(rows, "template string, text string")
 
 
 def scan_templates(
@@ -181,16 +171,21 @@ def scan_templates(
     """``(doc_id, template, containment, first_word, last_word)`` of every match.
 
     ``templates(template, text)``.  One row for each document row and
-    template that it contains, at its best place; words count from 0.  Texts
-    and templates of fewer than five words, null ones included, match
-    nothing; equal templates all match; an empty table gives an empty one.
+    template that it contains, at its best place, and of equally good ones
+    at the first; words count from 0.  Texts and templates of fewer than five
+    words, null ones included, match nothing; equal templates all match; rows
+    that repeat an id, or have none, each give their own matches; very long
+    texts are scanned whole, a stretch at a time; other columns, whatever
+    their names, are not read; an empty table gives an empty one.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = templates.where("template is not null and text is not null").select("template", "text")
-    rounds = max(1, -(-known.count() // ROUND_TEMPLATES))
+    n_words = known.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    rounds = max(1, -(-n_words // ROUND_WORDS))
     result = None
     for k in range(rounds):
-        own = known.where(F.pmod(F.xxhash64("template"), F.lit(rounds)) == k).orderBy("template", "text").collect()
+        # about ROUND_WORDS words
+        own = known.where(F.pmod(F.xxhash64("template", "text"), F.lit(rounds)) == k).orderBy("template", "text").collect()
         part = slim.mapInArrow(_scan_batches([(r.template, r.text.encode()) for r in own]), SCHEMA)
         result = part if result is None else result.unionByName(part)
     return result

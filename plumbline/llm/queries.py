@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import oracles
 from .arc_convert import archive_pages
 from .inner_topk import top_inner_products
-from .license_scan import notice_templates, scan_templates
+from .license_scan import license_templates, scan_templates
 from .mixing import mix
 from .packing import pack
 from .quality_classifier import quality_scores
@@ -54,7 +54,7 @@ def op5_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     passages = _table(spark, sf_dir, "benchmark").select(
         F.concat(F.lit("benchmark:"), F.col("item_id")).alias("template"), "text"
     )
-    return scan_templates(_table(spark, sf_dir, "documents"), notice_templates(spark).unionByName(passages))
+    return scan_templates(_table(spark, sf_dir, "documents"), license_templates(spark).unionByName(passages))
 
 
 def op6_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -150,12 +151,13 @@ def test_templates(spark, monkeypatch):
     docs += [(100 + k, " ".join(words(50_000 + k, 300))) for k in range(20)]
     docs += [(200, None), (201, ""), (202, "Foo. released under the MIT license. bar"), (None, templates[5][1]), (203, templates[7][1] + ". " + templates[7][1]), (203, templates[7][1])]
     table = spark.createDataFrame([(i, t, "x", 1.0) for i, t in docs], "doc_id long, text string, template string, containment double")
-    known = spark.createDataFrame(templates, "template string, text string").unionByName(license_scan.notice_templates(spark))
-    expected = brute_scan(docs, [t for t in templates if t[0]] + [(f"license:{k}", v) for k, v in license_scan.NOTICES.items()])
+    known = spark.createDataFrame(templates, "template string, text string").unionByName(license_scan.license_templates(spark))
+    known_licenses = [tuple(r) for r in license_scan.license_templates(spark).collect()]
+    expected = brute_scan(docs, [t for t in templates if t[0]] + known_licenses)
     found = license_scan.scan_templates(table, known).collect()
     assert {(r.doc_id, r.template) for r in found} == expected
     assert len(found) == len(expected) + 1 and all(r.containment >= 0.8 for r in found)
-    monkeypatch.setattr(license_scan, "ROUND_TEMPLATES", 7)
+    monkeypatch.setattr(license_scan, "ROUND_WORDS", 900)
     monkeypatch.setattr(license_scan, "STRETCH", 64)
     again = license_scan.scan_templates(table, known).collect()
     assert {(r.doc_id, r.template) for r in again} == expected
@@ -163,6 +165,19 @@ def test_templates(spark, monkeypatch):
     assert license_scan.scan_templates(table, known.limit(0)).count() == 0
 
 
+def test_licence_texts_and_long_documents(spark):
+    from plumbline.llm.licenses import TEXTS
+
+    long = " ".join(words(77, 120_000))
+    rows = [(k, f"Copyright (c) 2020 Someone {k}\n" + re.sub(r"\s+", "\n * ", t)) for k, t in enumerate(TEXTS.values())]
+    rows += [(100, long + TEXTS["isc"] + long), (101, TEXTS["mit"][: len(TEXTS["mit"]) // 2]), (102, TEXTS["zlib"].replace("software", "code", 2))]
+    found = license_scan.scan_templates(spark.createDataFrame(rows, "doc_id long, text string"), license_scan.license_templates(spark)).collect()
+    expected = brute_scan(rows, [tuple(r) for r in license_scan.license_templates(spark).collect()])
+    assert {(r.doc_id, r.template) for r in found} == expected
+    assert {(k, f"license-text:{name}") for k, name in enumerate(TEXTS)} | {(100, "license-text:isc")} <= expected
+    assert next(r.first_word for r in found if (r.doc_id, r.template) == (100, "license-text:isc")) == 120_000
+
+
 ARC_1 = (
     b"filedesc://a.arc 0.0.0.0 20010101000000 text/plain 77\n1 0 org\nURL IP-address Archive-date Content-type Archive-length\n".replace(b"77", b"%d" % len(b"1 0 org\nURL IP-address Archive-date Content-type Archive-length\n"))
     + b"\nhttp://a.example/ 1.2.3.4 20010203040506 text/html 27\nHTTP/1.0 200 OK\r\n\r\nbody\nhi\n\n"
@@ -173,10 +188,11 @@ ARC_1 = (
 def test_arc_by_hand():
     records = list(arc.parse_arc(ARC_1))
     assert [(r.version, r.fields["URL"], r.payload) for r in records] == [(1, "http://a.example/", b"body\nhi\n"), (1, "dns:a.example", b"abcd")]
-    (headers, block), = arc.parse_warc(arc.to_warc(records[0], "k") + b"\r\n\r\n")
+    (headers, block), = arc.parse_warc(arc.to_warc(records[0], "<urn:uuid:k>") + b"\r\n\r\n")
     assert headers["WARC-Date"] == "2001-02-03T04:05:06Z" and headers["WARC-Type"] == "response" and block == records[0].block
-    (headers, _), = arc.parse_warc(arc.to_warc(records[1], "k2") + b"\r\n\r\n")
+    (headers, _), = arc.parse_warc(arc.to_warc(records[1], "<urn:uuid:k2>") + b"\r\n\r\n")
     assert headers["WARC-Type"] == "resource" and headers["WARC-Date"] == "2001-02-03T00:00:00Z"
+    assert arc.warc_date("2001") == "2001-01-01T00:00:00Z"
     for broken in (ARC_1[:-3], b"http://x 1 2 3 4\nabcd\n", ARC_1.replace(b" text/dns", b"")):
         with pytest.raises(ValueError):
             list(arc.parse_arc(broken))
@@ -204,6 +220,47 @@ def test_archive(spark):
     assert arc.archive_pages(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page", [0, 1, -1, 2**62, 2**63 - 1, -(2**63), 12345678901234567])
+def test_record_ids_spell_page_ids(page):
+    assert arc.page_of(arc.record_id(page)) == page and re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", arc.record_id(page))
+    assert arc.page_of(arc.record_id(None)) is None is arc.page_of("<urn:uuid:f47ac10b-58cc-4372-a567-0e02b2c3d479>") is arc.page_of(None)
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(k, "u", f"{k}" + "é" * 1_500_000) for k in range(8)], "page_id long, url string, html string").coalesce(1)
+    # a worker has the module's own bounds: rows of 4 MB and a record, 8 rows a file
+    monkeypatch.setattr(arc, "FILE_ROWS", 1)
+    arc.write_warc(pages, str(tmp_path / "w"))
+    files = sorted((tmp_path / "w").glob("part-*"))
+    assert len(files) >= 3 and max(f.stat().st_size for f in files) < arc.ARCHIVE_BYTES + 3_100_000
+    assert sorted(r.page_id for r in arc.read_warc(spark, str(tmp_path / "w")).collect()) == list(range(8))
+
+
+def test_stored_archives_are_converted(spark, tmp_path):
+    import gzip
+
+    body = b"HTTP/1.1 200 OK\r\n\r\n" + b"long payload " * 100
+    records = [("http://a/1", "text/html", body), ("http://a/2", "text/html", b"HTTP/1.1 200 OK\r\n\r\nshort"), ("dns:a", "text/dns", b"1.2.3.4")]
+    folder = tmp_path / "arc"
+    folder.mkdir()
+    (folder / "one.arc").write_bytes(arc.build_arc(1, records))
+    (folder / "two.arc.gz").write_bytes(gzip.compress(arc.build_arc(2, [records[0], ("http://b/bytes", "image/png", bytes(range(256)))])))
+    (folder / "notes.txt").write_text("no archive")
+    arc.convert_archives(spark, str(folder), str(tmp_path / "warc"))
+    found = arc.read_warc(spark, str(tmp_path / "warc")).collect()
+    assert sorted((r.target_uri, r.warc_type) for r in found if r.target_uri != "http://a/1") == [
+        ("dns:a", "resource"), ("http://a/2", "response"), ("http://b/bytes", "resource"),
+    ]
+    whole, again = sorted((r for r in found if r.target_uri == "http://a/1"), key=lambda r: r.warc_type)
+    assert (whole.warc_type, again.warc_type) == ("response", "revisit") and again.refers_to == whole.record_id
+    assert whole.payload_digest == again.payload_digest == hashlib.sha1(b"long payload " * 100).hexdigest()
+    assert {r.payload_bytes for r in found if r.target_uri == "http://b/bytes"} == {256} and whole.page_id is None
+    # the revisit names its original in full
+    raw = b"".join(f.read_bytes() for f in sorted((tmp_path / "warc").glob("part-*")))
+    headers = next(h for h, _ in arc.parse_warc(raw) if h["WARC-Type"] == "revisit")
+    assert headers["WARC-Refers-To-Target-URI"] == "http://a/1" and headers["WARC-Refers-To-Date"] == "2020-01-01T00:00:00Z"
+
+
 def brute_top(rows, asked, k=5):
     """``rows`` are ``(id, vector)``; every row is a candidate of the others."""
     out = []

@@ -237,6 +237,7 @@ def test_shards(spark, ahead, monkeypatch):
     import hashlib
 
     monkeypatch.setattr(sharding, "AHEAD", ahead)
+    monkeypatch.setattr(sharding, "AHEAD_LATER", ahead)
     rng = random.Random(4)
     rows = [(k, "x" * rng.randrange(60), "s") for k in range(400)] + [(500, None, "s"), (501, "é" * 200, "s"), (None, "abc", "s"), (7, "y" * 10, "s")]
     found = sharding.assign_shards(table(spark, rows), limit_bytes=300).collect()
@@ -251,7 +252,8 @@ def test_shards(spark, ahead, monkeypatch):
     for r in found:
         assert r.shard_bytes == size[r.shard_id]
         assert size[r.shard_id] <= 300 or {x.doc_id for x in found if x.shard_id == r.shard_id} == {501}
-        if r.depth and len(r.shard_id) < 60:  # no bucket was split without need
+        if r.depth:  # no bucket was split without need
+            assert len({i for i, _, _ in rows if bits(i).startswith(r.shard_id[:-1])}) > 1
             assert sum(len((t or "").encode()) for i, t, _ in rows if bits(i).startswith(r.shard_id[:-1])) > 300
 
 
@@ -277,6 +279,13 @@ def test_few_rows_are_sharded(spark, tmp_path):
     assert sharding.read_shards(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_one_huge_document_among_small_ones(spark):
+    """No bit pattern without rows is listed, and the huge one is settled where it stands alone."""
+    found = sharding.assign_shards(table(spark, [(1, "x" * 3_000_000, "s"), (2, "a", "s"), (3, "b", "s")]), limit_bytes=10).collect()
+    assert len(found) == 3 and max(r.depth for r in found) < 20
+    assert {r.doc_id for r in found if r.shard_bytes > 10} == {1}
+
+
 def test_packed_ids_are_the_texts(spark):
     rng = random.Random(8)
     rows = [(k, " ".join(rng.choice(["alpha", "beta.", "Gamma"]) for _ in range(rng.randrange(3000))), "s") for k in range(20)] + [(100 + k, t, None) for k, t in enumerate(TEXTS)]
