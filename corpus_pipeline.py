@@ -14,7 +14,7 @@ from plumbline.llm.packing import pack
 from plumbline.llm.quality_classifier import quality_accepted
 from plumbline.llm.quality_rules import quality_filter
 from plumbline.llm.simhash import one_of_each
-from plumbline.shipping import ship
+from plumbline.shipping import bound_batches, ship
 from plumbline.storage import drop, keep, scratch
 
 
@@ -26,6 +26,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty one.
     """
     ship(spark)
+    bound_batches(spark)
     return quality_accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -46,6 +47,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty one.
     """
     ship(spark)
+    bound_batches(spark)
     return one_of_each(docs)
 
 
@@ -66,6 +68,7 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     are carried through.  An empty table gives an empty one.
     """
     ship(spark)
+    bound_batches(spark)
     return pack(docs)
 
 

@@ -68,7 +68,9 @@ def _ranked(sources: DataFrame) -> DataFrame:
     for part, count in sizes:
         offsets.append((part, before))
         before += count
-    start = ranged.sparkSession.createDataFrame(offsets or [(0, 0)], "part int, before long")
+    # constants of the plan: rows of Python values would start Python workers on the executors
+    rows = F.array(*[F.struct(F.lit(p).alias("part"), F.lit(n).cast("long").alias("before")) for p, n in offsets or [(0, 0)]])
+    start = ranged.sparkSession.range(1).select(F.inline(rows))
     inside = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
     return ranged.withColumn("inside", inside).join(F.broadcast(start), "part").select(
         *sources.columns, (F.col("before") + F.col("inside")).alias("rank")

@@ -39,8 +39,9 @@ END_ID = 1
 BUFFER_IDS = 1 << 20
 #: Ids of a step group.
 STEP_IDS = 1 << 17
-#: White-space separated words whose ids a worker remembers.
-CACHED_WORDS = 600_000
+#: White-space separated words whose ids a task remembers, and those that stay with its worker after it.
+CACHED_WORDS = 300_000
+KEPT_WORDS = 50_000
 TOKENIZER = "word_bpe_49k.json"
 
 SCHEMA = (
@@ -75,12 +76,13 @@ def _split(text: bytes) -> list[bytes]:
 
 
 class _Store:
-    """Runs of ids by number, end to end in one array."""
+    """Runs of ids by number, end to end in one array; keys hold no space."""
 
     def __init__(self):
         self.numbers: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, dtype="<u4")
         self.ends = np.zeros(1 << 16, dtype=np.int64)  # run k is ids[ends[k] : ends[k + 1]]
+        self.uses = np.zeros(1 << 16, dtype=np.int64)
 
     def fresh(self, keys: Iterable[bytes]) -> list[bytes]:
         """Numbers the keys that have none yet and returns them in that order."""
@@ -90,7 +92,11 @@ class _Store:
         return found
 
     def numbered(self, keys: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.numbers.__getitem__, keys), np.int64, len(keys))
+        at = np.fromiter(map(self.numbers.__getitem__, keys), np.int64, len(keys))
+        while len(self.numbers) > len(self.uses):
+            self.uses = np.append(self.uses, np.zeros_like(self.uses))
+        self.uses += np.bincount(at, minlength=len(self.uses))
+        return at
 
     def append(self, flat: np.ndarray, sizes: np.ndarray) -> None:
         """The runs of the keys that :meth:`fresh` numbered last."""
@@ -103,6 +109,26 @@ class _Store:
         self.ids[self.ends[first] : self.ends[first] + len(flat)] = flat
         self.ends[first + 1 : len(self.numbers) + 1] = ends
 
+    def forget(self, most: int) -> None:
+        """Keeps the ``most`` keys used most, of those used more than once; their uses count half from then on.
+
+        The keys that stay are copied to one string and cut out of it when all
+        are gone, for a key that stays in place holds the memory around it.
+        """
+        uses = self.uses[: len(self.numbers)]
+        often = np.argsort(-uses, kind="stable")[:most]
+        often = often[uses[often] > 1]
+        sizes = self.sizes(often)
+        flat, uses = self.gather(often, sizes), uses[often] // 2
+        keys = list(self.numbers)  # they stand in the order of their numbers
+        line = b" ".join([keys[k] for k in often.tolist()])
+        del keys
+        self.__init__()
+        if len(often):
+            self.numbers.update(zip(line.split(b" "), range(len(often)), strict=True))
+            self.append(flat, sizes)
+            self.uses = np.append(uses, np.zeros_like(self.uses))
+
     def sizes(self, at: np.ndarray) -> np.ndarray:
         return self.ends[at + 1] - self.ends[at]
 
@@ -127,11 +153,13 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self._forget()
-
-    def _forget(self) -> None:
         self.words, self.parts = _Store(), _Store()
 
+    def forget(self, most: int) -> None:
+        """Keeps the ``most`` words used most, and as many of their parts."""
+        self.words.forget(most)
+        self.parts.forget(most)
+
     @classmethod
     def load(cls, path: str) -> WordTokenizer:
         if path not in cls._loaded:
@@ -176,8 +204,8 @@ class WordTokenizer:
         self.words.append(self.parts.gather(halves, sizes), sizes[::2] + sizes[1::2])
 
     def _encode_group(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        if len(self.words.numbers) > CACHED_WORDS:
-            self._forget()
+        if max(len(self.words.numbers), len(self.parts.numbers)) > CACHED_WORDS:
+            self.forget(CACHED_WORDS // 2)
         words: list[bytes] = []
         stops = [0]
         for text in texts:
@@ -387,6 +415,7 @@ def _pack_batches(path: str, tiers: tuple[int, ...], with_ids: bool):
             for doc_id, ids in zip(batch.column(0).to_pylist(), coded, strict=True):
                 if packer.add(doc_id, ids):
                     yield packer.flush()
+        tokenizer.forget(KEPT_WORDS)  # the worker may idle beside other stages, or run them
         yield packer.flush(last=True)
 
     return run
